@@ -26,8 +26,15 @@ from pyspark.sql import types as T
 
 from vellumine.llm.store import Shared
 
-MEMO_PIECES = 150_000
-MEMO_STATES = 200_000
+#: Bounds of what a worker keeps: words, pieces, states of the transducer, token pairs.
+MEMO_WORDS, MEMO_PIECES, MEMO_STATES, MEMO_PAIRS = 60_000, 60_000, 60_000, 300_000
+
+#: Within a piece, tokens are settled after so many bytes at most (and the longest token's length).
+LOOKAHEAD = 1024
+
+#: Fixed value: the pattern, public with its vocabularies, whose matches never run over a single space between
+#: two other characters but start there. Texts can then be cut at such spaces before matching.
+SPACE_LED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def load_ranks(blob: bytes) -> dict[bytes, int]:
@@ -41,8 +48,9 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token_bytes = {rank: token for token, rank in ranks.items()}
+        self.lengths = {rank: len(token) for token, rank in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
-        self.accepts = [-1]
+        self.accepts, self.depths = [-1], [0]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -52,78 +60,169 @@ class Transducer:
                     self.children[node][byte] = below
                     self.children.append({})
                     self.accepts.append(-1)
+                    self.depths.append(self.depths[node] + 1)
                 node = below
             self.accepts[node] = rank
-        self.start = ((0, -1, ()),)
-        self.moves: dict = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.splits: dict[int, tuple[tuple, tuple]] = {}
+        self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
+        self._restart()
 
-    def merge(self, data: bytes) -> list[int]:
+    def _restart(self) -> None:
+        """State 0 is the start; a move maps state * 256 + byte to the next state and the token that arrives."""
+        start = ((0, -1),)
+        self.states, self.number, self.moves = [start], {start: 0}, {}
+
+    def merge(self, data: bytes, least_parts: int = 1) -> list[bytes]:
         """The merges themselves, lowest rank first and leftmost among equals; for short strings."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > least_parts:
             best = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
             if best[0] == 1 << 60:
                 break
             i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def spines(self, token: int) -> tuple[tuple, tuple]:
+        """What stands at the token's left and right edge while it forms: (bytes, rank of the merge that ends it)."""
+        known = self.splits.get(token)
+        if known is None:
+            data, halves = self.token_bytes[token], ()
+            if len(data) > 1:
+                halves = self.merge(data, 2)
+            if len(halves) == 2:
+                left, right = (self.ranks[h] for h in halves)
+                known = ((*self.spines(left)[0], (halves[0], token)), (*self.spines(right)[1], (halves[1], token)))
+            else:
+                known = ((), ())
+            self.splits[token] = known
+        return known
+
+    def parts_stay(self, left: int, right: int) -> bool:
+        """Whether no merge joins the edges of two adjacent tokens before their own merges are done."""
+        ranks, never = self.ranks, 1 << 60
+        a, b = self.spines(left)[1], self.spines(right)[0]
+        i = j = 0
+        while True:
+            edge_a, until_a = a[i] if i < len(a) else (self.token_bytes[left], never)
+            edge_b, until_b = b[j] if j < len(b) else (self.token_bytes[right], never)
+            across = ranks.get(edge_a + edge_b, never)
+            if across < until_a and across <= until_b and across != never:
+                return False
+            if until_a == never and until_b == never:
+                return True
+            if until_a <= until_b:
+                i += 1
+            else:
+                j += 1
 
     def follows(self, left: int, right: int) -> bool:
         """Whether the merges leave ``left`` and ``right`` as they are when adjacent (left -1: at the start)."""
-        if left < 0:
-            known = self.whole.get(right)
-            if known is None:
-                known = self.whole[right] = self.merge(self.token_bytes[right]) == [right]
+        known = self.whole.get(right)
+        if known is None:
+            known = self.whole[right] = self.merge(self.token_bytes[right]) == [self.token_bytes[right]]
+        if left < 0 or not known:
             return known
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is None:
-            known = self.merge(self.token_bytes[left] + self.token_bytes[right]) == [left, right]
-            self.pairs[left, right] = known
+            if len(self.pairs) >= MEMO_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[left << 32 | right] = self.parts_stay(left, right)
         return known
 
-    def move(self, state: tuple, byte: int) -> tuple[tuple, tuple]:
-        """The next state, and the tokens that are settled by the byte."""
-        live, arrived = [], None
-        for node, last, pending in state:
-            below = self.children[node].get(byte)
+    def move(self, state: tuple, byte: int) -> tuple[tuple, int]:
+        """The next state, and the token that ends the prefix up to this byte.
+
+        A state has, for each prefix from whose end a token still runs, the trie node of that run and the
+        prefix's last token.
+        """
+        children, accepts = self.children, self.accepts
+        live, arrived = [], -1
+        for node, last in state:
+            below = children[node].get(byte)
             if below is None:
                 continue
-            token = self.accepts[below]
-            if arrived is None and token >= 0 and self.follows(last, token):
-                arrived = (0, token, (*pending, token))
-            if self.children[below]:
-                live.append((below, last, pending))
-        if arrived is None:
+            if arrived < 0:
+                token = accepts[below]
+                if token >= 0 and self.follows(last, token):
+                    arrived = token
+            if children[below]:
+                live.append((below, last))
+        if arrived < 0:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
-        live.append(arrived)
-        shared = min(len(p) for _, _, p in live)
-        first = live[0][2]
-        settled = 0
-        while settled < shared and all(p[settled] == first[settled] for _, _, p in live):
-            settled += 1
-        return tuple((n, t, p[settled:]) for n, t, p in live), first[:settled]
+        live.append((0, arrived))
+        return tuple(live), arrived
 
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        out: list[int] = []
-        state = self.start
-        moves = self.moves
+        if len(self.states) >= MEMO_STATES:
+            self._restart()
+        done: list[int] = []  # settled tokens
+        ends: list[int] = []  # the token that ends each prefix since then
+        at, moves = 0, self.moves
         for byte in data:
-            step = moves.get((state, byte))
+            step = moves.get(at << 8 | byte)
             if step is None:
-                if len(moves) >= MEMO_STATES:
-                    moves.clear()
-                step = moves[state, byte] = self.move(state, byte)
-            state, settled = step
-            if settled:
-                out += settled
-        out += state[-1][2]
+                after, token = self.move(self.states[at], byte)
+                number = self.number.get(after)
+                if number is None:
+                    number = self.number[after] = len(self.states)
+                    self.states.append(after)
+                step = moves[at << 8 | byte] = (number, token)
+            at, token = step
+            ends.append(token)
+            if len(ends) >= LOOKAHEAD:
+                settled = self._settled(self.states[at], ends)
+                done += self._back(ends, settled)
+                del ends[:settled]
+        done += self._back(ends, len(ends))
+        return done
+
+    def _back(self, ends: list[int], place: int) -> list[int]:
+        """The tokens that lead to ``place``."""
+        out, lengths = [], self.lengths
+        while place > 0:
+            token = ends[place - 1]
+            out.append(token)
+            place -= lengths[token]
+        out.reverse()
         return out
 
+    def _settled(self, state: tuple, ends: list[int]) -> int:
+        """The last place that the ways to all live prefixes share."""
+        places = {len(ends) - self.depths[node] for node, _ in state}
+        while len(places) > 1:
+            last = max(places)
+            places.discard(last)
+            places.add(last - self.lengths[ends[last - 1]])
+        return places.pop()
+
+
+class Memo:
+    """Keeps what was used last, about ``room`` entries twice over: a young table, and the one before it."""
+
+    def __init__(self, room: int):
+        self.room, self.young, self.old = room, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.room:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
+_CLEAN = regex.compile(r"\S(?:.*\S)?", regex.DOTALL).fullmatch
+
 
 class Encoder:
     """Splits texts by a pattern and encodes each match separately."""
@@ -131,28 +230,66 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern).findall
-        self.memo: dict[str, list[int]] = {}
+        self.space_led = pattern == SPACE_LED
+        self.pieces, self.words = Memo(MEMO_PIECES), Memo(MEMO_WORDS)
 
-    def encode(self, text: str) -> array:
-        out = array("i")
-        memo, piece_ids = self.memo, self.transducer.encode_piece
+    def _plain(self, text: str) -> list[int]:
         found: list[int] = []
+        pieces = self.pieces
         for piece in self.split(text):
-            ids = memo.get(piece)
+            ids = pieces.get(piece)
             if ids is None:
-                ids = piece_ids(piece.encode("utf-8"))
+                ids = tuple(self.transducer.encode_piece(piece.encode("utf-8")))
                 if len(piece) <= 48:
-                    if len(memo) >= MEMO_PIECES:
-                        memo.clear()
-                    memo[piece] = ids
+                    pieces.put(piece, ids)
             found += ids
-            if len(found) > 1 << 16:
-                out.extend(found)
-                found.clear()
+        return found
+
+    def encode(self, text: str) -> array:
+        if not self.space_led:
+            return array("i", self._plain(text))
+        out: array = array("i")
+        found: list[int] = []
+        words = self.words
+        run, joins = None, True  # what waits, and whether it ends in (or has yet no) other than white space
+        for part in text.split(" "):
+            ids = None if joins else words.young.get(part) or words.get(part)
+            if ids is not None:
+                if run is not None:
+                    found += self._plain(run)
+                    run = None
+                found += ids
+                continue
+            clean = len(part) <= 48 and _CLEAN(part) is not None
+            if not joins and clean:
+                if run is not None:
+                    found += self._plain(run)
+                    run = None
+                ids = tuple(self._plain(" " + part))
+                words.put(part, ids)
+                found += ids
+                if len(found) > 1 << 16:
+                    out.extend(found)
+                    found.clear()
+                continue
+            starts = part[:1] and not _SPACE(part[0])
+            if run is not None and not joins and starts:
+                found += self._plain(run)
+                run = " " + part
+            elif run is not None:
+                run += " " + part
+            else:
+                run = part if joins and not out and not found else " " + part
+            joins = not part or _SPACE(part[-1]) is not None
+        if run is not None:
+            found += self._plain(run)
         out.extend(found)
         return out
 
 
+_SPACE = regex.compile(r"\s").fullmatch
+
+
 #: Fixed values of UTF-8: first byte from, to; bytes that follow; least and greatest second byte.
 LEADS = (
     (0xC2, 0xDF, 1, 0x80, 0xBF),
@@ -194,6 +331,12 @@ class StreamDecoder:
         self.tables: dict[tuple, dict[int, tuple[str, dict]]] = {}
         self.states: dict[int, tuple] = {}
         self.fresh = self._table(FRESH)
+        self.simple: list[str | None] = [None] * (max(token_bytes, default=-1) + 1)
+        for token, data in token_bytes.items():
+            try:
+                self.simple[token] = data.decode("utf-8")
+            except UnicodeDecodeError:
+                continue
 
     def _table(self, state: tuple) -> dict:
         table = self.tables.get(state)
@@ -212,14 +355,23 @@ class StreamDecoder:
 
     def decode(self, ids) -> str:
         """As bytes joined and decoded with replacement characters."""
-        table, out = self.fresh, []
-        for token in ids:
-            entry = table.get(token)
-            if entry is None:
-                entry = self._fill(table, token)
-            out.append(entry[0])
-            table = entry[1]
-        if table is not self.fresh:
+        fresh, out = self.fresh, []
+        table = fresh
+        for start in range(0, len(ids), 256):
+            block = ids[start : start + 256]
+            if table is fresh:
+                # Most blocks hold whole characters only: these need no states.
+                texts = list(map(self.simple.__getitem__, block))
+                if None not in texts:
+                    out += texts
+                    continue
+            for token in block:
+                entry = table.get(token)
+                if entry is None:
+                    entry = self._fill(table, token)
+                out.append(entry[0])
+                table = entry[1]
+        if table is not fresh:
             out.append("�")
         return "".join(out)
 

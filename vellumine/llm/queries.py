@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.llm import bpe, mixing, sharding, tiff, unigram, warc
+from vellumine.llm import bpe, linededup, mixing, sharding, tiff, unigram, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(_table(spark, sf_dir, "pages"))
 
 
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), removed_col="n_removed")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -43,10 +47,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rendezvous_shards": op2_rendezvous_shards,
     "op5_unigram_counts": op5_unigram_counts,
     "op6_warc_archive": op6_warc_archive,
+    "op8_line_chunks": op8_line_chunks,
     "op9_mix_sources": op9_mix_sources,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
+LINE_CHUNKS_SQL = """
+    WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM s),
+    h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM l),
+    e AS (SELECT *, i > 0 AND ((lag(h) OVER w * 31 + h) % 65521) % 2 = 0 AS even FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    b AS (SELECT *, even AND NOT coalesce(lag(even) OVER w, false) AS ends FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    c AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
+    g AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS n FROM c GROUP BY ALL),
+    m AS (SELECT *, n >= 2 AND trim(replace(t, chr(10), ' ')) <> '' AS several FROM g),
+    f AS (SELECT *, several AND row_number() OVER (PARTITION BY several, t ORDER BY doc_id, k) > 1 AS gone FROM m),
+    r AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY k) FILTER (WHERE NOT gone) AS text, count(*) FILTER (WHERE gone) AS n_removed FROM f GROUP BY doc_id)
+    SELECT {columns} FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id"""
+
 ORACLE_SQL: dict[str, str] = {
     "op6_warc_archive": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -56,4 +74,5 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
         FROM f""",
+    "op8_line_chunks": LINE_CHUNKS_SQL.format(columns="d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(r.text, '') END AS text, coalesce(r.n_removed, 0) AS n_removed"),
 }
