@@ -27,23 +27,33 @@ LEAST_LINES = 2
 LAST_ID = (1 << 63) - 1
 
 
-def with_chunks(df: DataFrame, text: Column) -> DataFrame:
-    """``df`` with ``__chunks``: array of (lines, text), in order; null where the text is null."""
-    hashed = df.withColumn("__lines", F.split(text, "\n", -1)).withColumn("__h", F.transform("__lines", lambda x: F.conv(F.substring(F.md5(x), 1, HEX_DIGITS), 16, 10).cast("long")))
-    h = F.col("__h")
-    even = F.transform(h, lambda x, i: (i > 0) & (((F.get(h, i - 1) * FACTOR + x) % MODULUS) % 2 == 0))
-    rolled = hashed.withColumn("__even", F.when(F.size(h) > 0, even))
-    e = F.col("__even")
-    last = F.size(e) - 1
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.get(e, i) & ~F.coalesce(F.get(e, i - 1), F.lit(False))))
-    ended = rolled.withColumn("__ends", F.when(F.size(e) > 0, ends))
-    at = F.col("__ends")
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it and the plan is rewritten."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    def chunk(end: Column, k: Column) -> Column:
-        start = F.coalesce(F.get(at, k - 1) + 1, F.lit(0))
-        return F.struct((end - start + 1).alias("n"), F.array_join(F.slice("__lines", start + 1, end - start + 1), "\n").alias("t"))
 
-    return ended.withColumn("__chunks", F.transform(at, chunk)).drop("__lines", "__h", "__even", "__ends")
+def chunks(text: Column) -> Column:
+    """The chunks of a text as an array of (n lines, t text), in order; null for null."""
+
+    def hashes(lines: Column) -> Column:
+        return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, HEX_DIGITS), 16, 10).cast("long"))
+
+    def even(h: Column) -> Column:
+        return F.transform(h, lambda x, i: (i > 0) & (((F.get(h, i - 1) * FACTOR + x) % MODULUS) % 2 == 0))
+
+    def ends(e: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(e) - 1)
+        return F.filter(places, lambda i: (i == F.size(e) - 1) | (F.get(e, i) & ~F.coalesce(F.get(e, i - 1), F.lit(False))))
+
+    def cut_at(lines: Column, at: Column) -> Column:
+        def chunk(end: Column, k: Column) -> Column:
+            start = F.coalesce(F.get(at, k - 1) + 1, F.lit(0))
+            n = end - start + 1
+            return F.struct(n.alias("n"), F.array_join(F.slice(lines, start + 1, n), "\n").alias("t"))
+
+        return F.transform(at, chunk)
+
+    return F.when(text.isNotNull(), let(F.split(text, "\n", -1), lambda lines: let(hashes(lines), lambda h: let(even(h), lambda e: let(ends(e), lambda at: cut_at(lines, at))))))
 
 
 def _keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -57,7 +67,8 @@ def _keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """``docs`` with repeated chunks taken out of the text; ``removed_col`` adds how many went."""
     keyed = _keys(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col)
-    chunked = with_chunks(keyed, F.col(text_col)).select("__k", "__th", "__ord", F.posexplode("__chunks").alias("__pos", "__c"))
+    # The outer form: no filter on the chunks' count is derived, which would compute them twice.
+    chunked = keyed.select("__k", "__th", "__ord", F.posexplode_outer(chunks(F.col(text_col))).alias("__pos", "__c"))
     several = chunked.where((F.col("__c.n") >= LEAST_LINES) & (F.trim(F.translate("__c.t", "\n", " ")) != ""))
     pieces = several.select("__k", "__th", "__ord", "__pos", F.xxhash64("__c.t").alias("__hash"), F.col("__c.t").alias("__t"))
     repeated = cut(pieces.groupBy("__hash").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"))
@@ -72,10 +83,10 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", re
     )
     gone = verdict.select("__k", "__th", F.array_except("__seen", "__kept").alias("__gone")).where(F.size("__gone") > 0)
     joined = _keys(docs, id_col, text_col).join(gone, ["__k", "__th"], "left")
-    rebuilt = with_chunks(joined, F.when(F.col("__gone").isNotNull(), F.col(text_col)))
-    left = F.array_join(F.transform(F.filter("__chunks", lambda c, i: ~F.array_contains("__gone", i)), lambda c: c["t"]), "\n")
+    found_again = chunks(F.when(F.col("__gone").isNotNull(), F.col(text_col)))
+    left = F.array_join(F.transform(F.filter(found_again, lambda c, i: ~F.array_contains("__gone", i)), lambda c: c["t"]), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if removed_col:
         columns.append(F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(removed_col))
-    return rebuilt.select(*columns)
+    return joined.select(*columns)
