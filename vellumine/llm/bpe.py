@@ -27,7 +27,10 @@ from pyspark.sql import types as T
 from vellumine.llm.store import Shared
 
 #: Bounds of what a worker keeps: words, pieces, states of the transducer, token pairs.
-MEMO_WORDS, MEMO_PIECES, MEMO_STATES, MEMO_PAIRS = 60_000, 60_000, 60_000, 300_000
+MEMO_WORDS, MEMO_PIECES, MEMO_STATES, MEMO_PAIRS = 60_000, 60_000, 120_000, 300_000
+
+TOKEN_BITS = 24
+NO_TOKEN = (1 << TOKEN_BITS) - 1
 
 #: Within a piece, tokens are settled after so many bytes at most (and the longest token's length).
 LOOKAHEAD = 1024
@@ -49,18 +52,19 @@ class Transducer:
         self.ranks = ranks
         self.token_bytes = {rank: token for token, rank in ranks.items()}
         self.lengths = {rank: len(token) for token, rank in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
-        self.accepts, self.depths = [-1], [0]
+        # The trie: node << 8 | byte -> node; what a node accepts, its depth, whether it goes on.
+        self.child: dict[int, int] = {}
+        self.accepts, self.depths, self.inner = [-1], [0], [True]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                below = self.children[node].get(byte)
+                below = self.child.get(node << 8 | byte)
                 if below is None:
-                    below = len(self.children)
-                    self.children[node][byte] = below
-                    self.children.append({})
+                    below = self.child[node << 8 | byte] = len(self.accepts)
+                    self.inner[node] = True
                     self.accepts.append(-1)
                     self.depths.append(self.depths[node] + 1)
+                    self.inner.append(False)
                 node = below
             self.accepts[node] = rank
         self.splits: dict[int, tuple[tuple, tuple]] = {}
@@ -69,8 +73,8 @@ class Transducer:
         self._restart()
 
     def _restart(self) -> None:
-        """State 0 is the start; a move maps state * 256 + byte to the next state and the token that arrives."""
-        start = ((0, -1),)
+        """Moves map state << 8 | byte to (next state << 8, token that arrives); state 0 is the start."""
+        start = (NO_TOKEN,)
         self.states, self.number, self.moves = [start], {start: 0}, {}
 
     def merge(self, data: bytes, least_parts: int = 1) -> list[bytes]:
@@ -118,11 +122,11 @@ class Transducer:
                 j += 1
 
     def follows(self, left: int, right: int) -> bool:
-        """Whether the merges leave ``left`` and ``right`` as they are when adjacent (left -1: at the start)."""
+        """Whether the merges leave ``left`` and ``right`` as they are when adjacent (left NO_TOKEN: at the start)."""
         known = self.whole.get(right)
         if known is None:
             known = self.whole[right] = self.merge(self.token_bytes[right]) == [self.token_bytes[right]]
-        if left < 0 or not known:
+        if left == NO_TOKEN or not known:
             return known
         known = self.pairs.get(left << 32 | right)
         if known is None:
@@ -135,23 +139,24 @@ class Transducer:
         """The next state, and the token that ends the prefix up to this byte.
 
         A state has, for each prefix from whose end a token still runs, the trie node of that run and the
-        prefix's last token.
+        prefix's last token, as node << TOKEN_BITS | token.
         """
-        children, accepts = self.children, self.accepts
+        child, accepts, inner = self.child.get, self.accepts, self.inner
         live, arrived = [], -1
-        for node, last in state:
-            below = children[node].get(byte)
+        for entry in state:
+            below = child(entry >> TOKEN_BITS << 8 | byte)
             if below is None:
                 continue
+            last = entry & NO_TOKEN
             if arrived < 0:
                 token = accepts[below]
                 if token >= 0 and self.follows(last, token):
                     arrived = token
-            if children[below]:
-                live.append((below, last))
+            if inner[below]:
+                live.append(below << TOKEN_BITS | last)
         if arrived < 0:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
-        live.append((0, arrived))
+        live.append(arrived)
         return tuple(live), arrived
 
     def encode_piece(self, data: bytes) -> list[int]:
@@ -162,25 +167,29 @@ class Transducer:
             self._restart()
         done: list[int] = []  # settled tokens
         ends: list[int] = []  # the token that ends each prefix since then
-        at, moves = 0, self.moves
+        at, moves = 0, self.moves.get
         for byte in data:
-            step = moves.get(at << 8 | byte)
+            step = moves(at | byte)
             if step is None:
-                after, token = self.move(self.states[at], byte)
-                number = self.number.get(after)
-                if number is None:
-                    number = self.number[after] = len(self.states)
-                    self.states.append(after)
-                step = moves[at << 8 | byte] = (number, token)
+                step = self._learn(at, byte)
             at, token = step
             ends.append(token)
             if len(ends) >= LOOKAHEAD:
-                settled = self._settled(self.states[at], ends)
+                settled = self._settled(self.states[at >> 8], ends)
                 done += self._back(ends, settled)
                 del ends[:settled]
         done += self._back(ends, len(ends))
         return done
 
+    def _learn(self, at: int, byte: int) -> tuple[int, int]:
+        after, token = self.move(self.states[at >> 8], byte)
+        number = self.number.get(after)
+        if number is None:
+            number = self.number[after] = len(self.states)
+            self.states.append(after)
+        step = self.moves[at | byte] = (number << 8, token)
+        return step
+
     def _back(self, ends: list[int], place: int) -> list[int]:
         """The tokens that lead to ``place``."""
         out, lengths = [], self.lengths
@@ -193,7 +202,7 @@ class Transducer:
 
     def _settled(self, state: tuple, ends: list[int]) -> int:
         """The last place that the ways to all live prefixes share."""
-        places = {len(ends) - self.depths[node] for node, _ in state}
+        places = {len(ends) - self.depths[entry >> TOKEN_BITS] for entry in state}
         while len(places) > 1:
             last = max(places)
             places.discard(last)
