@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.llm import bpe, linededup, mixing, sharding, tiff, unigram, warc
+from vellumine.llm import bpe, jaccard, linededup, mixing, sharding, tiff, unigram, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(_table(spark, sf_dir, "pages"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), removed_col="n_removed")
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rendezvous_shards": op2_rendezvous_shards,
     "op5_unigram_counts": op5_unigram_counts,
     "op6_warc_archive": op6_warc_archive,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_line_chunks": op8_line_chunks,
     "op9_mix_sources": op9_mix_sources,
     "op10_byte_bpe": op10_byte_bpe,
