@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellumine.llm import bpe, jaccard, linededup, mixing, sharding, tiff, unigram, warc
+from vellumine.llm import bpe, jaccard, linededup, mixing, sharding, tiff, topk, unigram, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), "doc_id", "text", [1.0] * 24)
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.counts(_table(spark, sf_dir, "documents"), unigram.load_sentencepiece(public_tokenizers.path("piece_bpe_32k.model")))
 
@@ -49,6 +54,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_rendezvous_shards": op2_rendezvous_shards,
+    "op3_exact_topk": op3_exact_topk,
     "op5_unigram_counts": op5_unigram_counts,
     "op6_warc_archive": op6_warc_archive,
     "op7_ngram_jaccard": op7_ngram_jaccard,
@@ -71,6 +77,13 @@ LINE_CHUNKS_SQL = """
     SELECT {columns} FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_exact_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op6_warc_archive": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
