@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import bpe, jaccard, linededup, mixing, sharding, tiff, topk, unigram, warc
+from vellumine.llm import bpe, jaccard, linededup, mil, mixing, sharding, tiff, topk, unigram, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.counts(_table(spark, sf_dir, "documents"), unigram.load_sentencepiece(public_tokenizers.path("piece_bpe_32k.model")))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_rendezvous_shards": op2_rendezvous_shards,
     "op3_exact_topk": op3_exact_topk,
+    "op4_attention_quality": op4_attention_quality,
     "op5_unigram_counts": op5_unigram_counts,
     "op6_warc_archive": op6_warc_archive,
     "op7_ngram_jaccard": op7_ngram_jaccard,
