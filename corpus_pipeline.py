@@ -1,13 +1,61 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+quality     documents that the attention classifier scores below one half go
+lines       chunks of lines that repeat anywhere stay only where they occur first
+near_copies one document of each class of near copies stays, that of the least id
+mix         documents are taken as often as the mix of sources to target weights takes them
+tokens      every text left as byte-level BPE ids, with a digest of the text decoded from them
+
+The tokenizer's vocabulary is the public rank file named by VOCAB. SQL can express neither the first
+stage's model nor the last one's merges, so there is no SQL for run(); tests/llm has brute-force versions.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellumine.llm import bpe, jaccard, linededup, mil, mixing
+from vellumine.llm.store import fresh_path
+
+VOCAB = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mil.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = linededup.dedup(docs)
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return cleaned.select(*[length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.representatives(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keep = ("doc_id", "lang", "source")
+    ids = bpe.encode(docs, vocab_path=VOCAB, pattern=public_tokenizers.PATTERN, keep=keep)
+    counted = ids.select(*keep, F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("ids").alias("again"))
+    back = bpe.decode(counted, "again", vocab_path=VOCAB, keep=(*keep, "n_tokens", "ids"))
+    return back.select(*keep, "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES = []
+STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("mix", mix), ("tokens", tokens)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = fresh_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
