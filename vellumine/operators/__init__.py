@@ -1 +1 @@
-"""Operators of the engine."""
+"""Relational operators that Spark SQL has no syntax for, as DataFrame functions."""

@@ -1 +1 @@
-"""Sources of the engine."""
+"""Readers, writers and file metadata."""
