@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumine.llm.store import Shared
+from vellumine.llm.store import Shared, small_batches
 
 #: Bounds of what a worker keeps: words, pieces, states of the transducer, token pairs.
-MEMO_WORDS, MEMO_PIECES, MEMO_STATES, MEMO_PAIRS = 60_000, 60_000, 120_000, 300_000
+MEMO_WORDS, MEMO_PIECES, MEMO_STATES, MEMO_PAIRS = 60_000, 120_000, 150_000, 300_000
+#: From the start, moves over this many bytes are kept as one.
+JUMP, MEMO_JUMPS = 8, 80_000
 
 TOKEN_BITS = 24
 NO_TOKEN = (1 << TOKEN_BITS) - 1
@@ -75,7 +77,7 @@ class Transducer:
     def _restart(self) -> None:
         """Moves map state << 8 | byte to (next state << 8, token that arrives); state 0 is the start."""
         start = (NO_TOKEN,)
-        self.states, self.number, self.moves = [start], {start: 0}, {}
+        self.states, self.number, self.moves, self.jumps = [start], {start: 0}, {}, {}
 
     def merge(self, data: bytes, least_parts: int = 1) -> list[bytes]:
         """The merges themselves, lowest rank first and leftmost among equals; for short strings."""
@@ -166,9 +168,14 @@ class Transducer:
         if len(self.states) >= MEMO_STATES:
             self._restart()
         done: list[int] = []  # settled tokens
-        ends: list[int] = []  # the token that ends each prefix since then
-        at, moves = 0, self.moves.get
-        for byte in data:
+        if len(data) <= JUMP:
+            at, ends, rest = 0, [], data
+        else:
+            at, known = self._jump(data[:JUMP])
+            ends, rest = list(known), data[JUMP:]
+        # ends: the token that ends each prefix since the settled ones
+        moves = self.moves.get
+        for byte in rest:
             step = moves(at | byte)
             if step is None:
                 step = self._learn(at, byte)
@@ -181,6 +188,18 @@ class Transducer:
         done += self._back(ends, len(ends))
         return done
 
+    def _jump(self, head: bytes) -> tuple[int, tuple]:
+        known = self.jumps.get(head)
+        if known is None:
+            at, ends = 0, []
+            for byte in head:
+                at, token = self.moves.get(at | byte) or self._learn(at, byte)
+                ends.append(token)
+            if len(self.jumps) >= MEMO_JUMPS:
+                self.jumps.clear()
+            known = self.jumps[head] = (at, tuple(ends))
+        return known
+
     def _learn(self, at: int, byte: int) -> tuple[int, int]:
         after, token = self.move(self.states[at >> 8], byte)
         number = self.number.get(after)
@@ -422,6 +441,7 @@ def _append(batch: pa.RecordBatch, name: str, column: pa.Array, drop: str) -> pa
 
 def encode(df: DataFrame, text_col: str = "text", *, vocab_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
     """``keep`` columns plus ``ids`` (array<int>) of each whole text."""
+    small_batches(df.sparkSession)
     shared = _share(df, vocab_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,6 +465,7 @@ def encode(df: DataFrame, text_col: str = "text", *, vocab_path: str, pattern: s
 
 def decode(df: DataFrame, ids_col: str = "ids", *, vocab_path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "decoded") -> DataFrame:
     """``keep`` columns plus the text of each id sequence; null sequences decode as the empty text."""
+    small_batches(df.sparkSession)
     shared = _share(df, vocab_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm.components import components
-from vellumine.llm.store import cut, lookup_join
+from vellumine.llm.store import cut, lookup_join, small_batches
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 64
 #: Nodes of a bucket that are checked in one piece; larger buckets are cut into blocks of about this.
@@ -229,6 +229,7 @@ def verify(rows: list[tuple], threshold: float, words: int) -> list[tuple[bytes,
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """A row per document: its id, class_id, copy_of, n_copies, n_links."""
+    small_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     signed = cut(signatures(docs, id_col, text_col, bands, rows, words))
     total = signed.count()

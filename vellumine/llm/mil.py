@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.store import Shared
+from vellumine.llm.store import Shared, small_batches
 
 PASSAGE_WORDS = 64
 WORD_BUCKETS = 64
@@ -196,6 +196,7 @@ def score(docs: DataFrame, model: Model | float, *, keep: tuple[str, ...] = ("do
     """``keep`` columns and the score of each whole text."""
     if isinstance(model, float):
         return docs.select(*keep, F.lit(model).alias(score_col))
+    small_batches(docs.sparkSession)
     shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

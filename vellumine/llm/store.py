@@ -37,6 +37,18 @@ class Shared:
         return self.broadcast.value
 
 
+#: What a Python worker gets at once, unless the session asks for less: rows, bytes.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of tasks that hold whole texts, where the session has Spark's large defaults."""
+    for key, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(key, "0").rstrip("b") or 0)
+        if now <= 0 or now > bound:
+            spark.conf.set(key, str(bound))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later reads come from the shared folder, not from recomputation."""
     shared_dir(df.sparkSession)
@@ -57,9 +69,11 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str,
     limit = max(1, total // heavy_share)
     values = [c for c in small.columns if c not in keys and c != weight]
     heavy = small.where(F.col(weight) > limit).drop(weight).withColumns({f"__h_{c}": F.col(c) for c in values}).drop(*values).withColumn("__h_hit", F.lit(True))
-    light = small.where(F.col(weight) <= limit).drop(weight).withColumn("__l_salt", F.lit(0).cast("long")).withColumns({f"__l_{c}": F.col(c) for c in values}).drop(*values).withColumn("__l_hit", F.lit(True))
-    flagged = big.join(F.broadcast(heavy), keys, "left").withColumn("__l_salt", F.when(F.col("__h_hit"), F.xxhash64(row_salt).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long")))
-    joined = flagged.join(light, [*keys, "__l_salt"], "left")
+    # One key column of keys and salt: no side's partitioning by the keys alone can serve this join.
+    light = small.where(F.col(weight) <= limit).select(F.struct(*keys, F.lit(0).cast("long").alias("__salt")).alias("__key"), *[F.col(c).alias(f"__l_{c}") for c in values], F.lit(True).alias("__l_hit"))
+    salt = F.when(F.col("__h_hit"), F.xxhash64(row_salt).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long"))
+    flagged = big.join(F.broadcast(heavy), keys, "left").withColumn("__key", F.struct(*keys, salt.alias("__salt")))
+    joined = flagged.join(light, "__key", "left")
     if how == "inner":
         joined = joined.where(F.col("__h_hit") | F.col("__l_hit"))
     return joined.select(*big.columns, *[F.coalesce(f"__h_{c}", f"__l_{c}").alias(c) for c in values])

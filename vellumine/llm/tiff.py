@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellumine.llm.store import small_batches
+
 #: Fixed values of the format: tags, bytes of each field type, compressions.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER = 256, 257, 258, 259, 262, 266
 STRIP_OFFSETS, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR = 273, 277, 278, 279, 284
@@ -331,6 +333,7 @@ def read_pages(df: DataFrame, blob_col: str, *, keep: tuple[str, ...] = ("doc_id
                 columns = [pa.array([r.get(f.name) for r in rows], kind) for f, kind in zip(PAGE_FIELDS, _ARROW, strict=True)]
                 yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*keep, *(f.name for f in PAGE_FIELDS)])
 
+    small_batches(df.sparkSession)
     slim = df.select(*keep, F.col(blob_col).alias("__blob"))
     return slim.mapInArrow(run, T.StructType([*slim.select(*keep).schema.fields, *PAGE_FIELDS]))
 
@@ -390,6 +393,7 @@ def write_files(df: DataFrame, payload_col: str, *, width: int, keep: tuple[str,
                     blobs.append(write_page(payload, width, how, predictor, tile))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(blobs, pa.binary())], [*keep, blob_col])
 
+    small_batches(df.sparkSession)
     slim = df.select(*keep, F.col(payload_col).alias("__payload"))
     return slim.mapInArrow(run, T.StructType([*slim.select(*keep).schema.fields, T.StructField(blob_col, T.BinaryType())]))
 

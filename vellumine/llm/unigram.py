@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.store import Shared
+from vellumine.llm.store import Shared, small_batches
 
 MEMO_WORDS = 200_000
 UNKNOWN_PENALTY = 10.0
@@ -118,6 +118,7 @@ def counts(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", t
 
     Spaces become marks, one mark goes in front (``prefix``); nothing else is normalised.
     """
+    small_batches(docs.sparkSession)
     shared = Shared(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.store import cut, fresh_path, lookup_join
+from vellumine.llm.store import cut, fresh_path, lookup_join, small_batches
 
 #: Fixed values of the formats.
 MAGIC = b"\x1f\x8b\x08"
@@ -91,6 +91,7 @@ def write(traced: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00Z") -
                 members = [member(record(*(v.as_py() for v in row), date))[:-1] for row in zip(*columns, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
 
+    small_batches(traced.sparkSession)
     stored = traced.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
     stored.write.option("lineSep", "\x00").option("compression", "none").text(path)
 
