@@ -44,7 +44,7 @@ BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches of tasks that hold whole texts, where the session has Spark's large defaults."""
     for key, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(spark.conf.get(key, "0").rstrip("b") or 0)
+        now = int(spark.conf.get(key).rstrip("b"))
         if now <= 0 or now > bound:
             spark.conf.set(key, str(bound))
 
