@@ -39,7 +39,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows with which so many hashes still find a pair at the threshold with ``recall``."""
     for rows in range(most_hashes, 0, -1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold**rows < 1 else 1
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
         if bands * rows <= most_hashes:
             return bands, rows
     raise ValueError("no bands reach that recall with so few hashes")
