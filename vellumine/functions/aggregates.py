@@ -107,3 +107,57 @@ def lttb(df: DataFrame, keys: list[str], x: str, y: str, n: int) -> DataFrame:
 
     slim = df.select(*keys, x, y)
     return slim.groupBy(*keys).applyInPandas(pick, slim.schema)
+
+
+def arg_max_null(x: Column, key: Column) -> Column:
+    """Unlike ``arg_max``, a null ``x`` at the greatest key counts."""
+    return F.max(F.when(key.isNotNull(), F.struct(key.alias("k"), x.alias("x"))))["x"]
+
+
+def histogram_bins(x: Column, ends: list[float]) -> Column:
+    """Counts of values up to each bin's end and above the one before; a last bin takes the rest."""
+    counts, low = [], None
+    for end in ends:
+        inside = x <= end if low is None else (x > low) & (x <= end)
+        counts.append(F.struct(F.lit(float(end)).alias("bin"), F.count(F.when(inside, 1)).alias("n")))
+        low = end
+    return F.array(*counts, F.struct(F.lit(float("inf")).alias("bin"), F.count(F.when(x > ends[-1], 1)).alias("n")))
+
+
+def rank_within(value, x: Column) -> Column:
+    """``rank(value) WITHIN GROUP (ORDER BY x)``: the place the value would take."""
+    return F.count(F.when(x < value, 1)) + 1
+
+
+def dense_rank_within(value, x: Column) -> Column:
+    return F.count_distinct(F.when(x < value, x)) + 1
+
+
+def percent_rank_within(value, x: Column) -> Column:
+    return F.count(F.when(x < value, 1)) / F.count(F.lit(1))
+
+
+def cume_dist_within(value, x: Column) -> Column:
+    return (F.count(F.when(x <= value, 1)) + 1) / (F.count(F.lit(1)) + 1)
+
+
+def distinct_state(x: Column) -> Column:
+    """A sketch that merges (``distinct_merge``) and answers (``distinct_finalize``) later."""
+    return F.hll_sketch_agg(x)
+
+
+def distinct_merge(state: Column) -> Column:
+    return F.hll_union_agg(state)
+
+
+def distinct_finalize(state: Column) -> Column:
+    return F.hll_sketch_estimate(state)
+
+
+def moments_state(x: Column) -> Column:
+    """Count, sum and sum of squares: enough for count, sum, average and variances."""
+    return F.struct(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+
+
+def moments_merge(state: Column) -> Column:
+    return F.struct(F.sum(state["n"]).alias("n"), F.sum(state["s"]).alias("s"), F.sum(state["q"]).alias("q"))

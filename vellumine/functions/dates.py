@@ -148,3 +148,31 @@ def strftime(t: Column, fmt: str) -> Column:
 def try_strptime(s: Column, *formats: str) -> Column:
     """The first format that fits; null if none."""
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(java_pattern(f))).cast("timestamp_ntz") for f in formats])
+
+
+def make_interval_text(months: Column, days: Column, us: Column) -> Column:
+    """An interval as a storable struct of its three parts."""
+    return F.struct(months.cast("int").alias("months"), days.cast("int").alias("days"), us.cast("long").alias("micros"))
+
+
+def age(a: Column, b: Column) -> Column:
+    """From ``b`` to ``a`` in whole months, then days, then microseconds; for ``a`` not before ``b``."""
+    months = date_sub("month", b, a)
+    moved = b.cast("timestamp_ntz") + F.make_ym_interval(F.lit(0), months.cast("int"))
+    left = micros(a) - micros(moved)
+    days = F.floor(left / float(_SPANS["day"])).cast("long")
+    return make_interval_text(months, days, left - days * _SPANS["day"])
+
+
+def at_time_zone(t: Column, zone: str) -> Column:
+    """A wall clock in ``zone`` to the instant, as wall clock in UTC."""
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), t.cast("timestamp_ntz"))
+
+
+def to_zone(t: Column, zone: str) -> Column:
+    """A wall clock in UTC to that of ``zone``."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), t.cast("timestamp_ntz"))
+
+
+def make_timestamp_ms(ms: Column) -> Column:
+    return from_micros(ms * 1000)

@@ -221,3 +221,51 @@ def parse_path(path: Column, sep: str = "/") -> Column:
 def ord_(s: Column) -> Column:
     """Code point of the first character."""
     return F.conv(F.hex(F.encode(F.substring(s, 1, 1), "UTF-32")), 16, 10).cast("int")
+
+
+def parse_formatted_bytes(s: Column) -> Column:
+    """``1.5 KiB`` or ``2 MB`` to bytes."""
+    number = F.regexp_extract(s, r"^\s*([0-9.]+)", 1).cast("double")
+    unit = F.upper(F.regexp_extract(s, r"([A-Za-z]+)\s*$", 1))
+    scale = F.when(unit.isin("", "B", "BYTE", "BYTES"), F.lit(1.0))
+    for power, letter in enumerate("KMGTP", 1):
+        scale = scale.when(unit == f"{letter}IB", F.lit(float(1024**power))).when(unit.isin(f"{letter}B", letter), F.lit(float(1000**power)))
+    return F.rint(number * scale).cast("long")
+
+
+def bitstring(s: Column, width: int) -> Column:
+    """A text of 0 and 1 padded to a width."""
+    return F.lpad(s, width, "0")
+
+
+def get_bit(bits: Column, i: int) -> Column:
+    return F.substring(bits, i + 1, 1).cast("int")
+
+
+def set_bit(bits: Column, i: int, value: int) -> Column:
+    return F.overlay(bits, F.lit(str(value)), i + 1, 1)
+
+
+def bit_position(part: Column, bits: Column) -> Column:
+    return F.instr(bits, part)
+
+
+def bit_count(bits: Column) -> Column:
+    return F.length(F.regexp_replace(bits, "0", "")).cast("long")
+
+
+def _little_end(hex_: Column, first: int) -> Column:
+    """Eight bytes of hex text from a place on, least first, as a number."""
+    return F.conv(F.concat(*[F.substring(hex_, i, 2) for i in range(first + 14, first - 1, -2)]), 16, 10).cast("decimal(20,0)")
+
+
+def md5_number_upper(s: Column) -> Column:
+    return _little_end(F.md5(s), 1)
+
+
+def md5_number_lower(s: Column) -> Column:
+    return _little_end(F.md5(s), 17)
+
+
+def unbin(s: Column) -> Column:
+    return F.unhex(F.conv(s, 2, 16))
