@@ -15,6 +15,7 @@ Arrow batch.
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from vellumine.llm.store import Shared, small_batches
 
 #: Bounds of what a worker keeps: words, pieces, states of the transducer, token pairs.
-MEMO_WORDS, MEMO_PIECES, MEMO_STATES, MEMO_PAIRS = 60_000, 120_000, 150_000, 300_000
+MEMO_WORDS, MEMO_PIECES, MEMO_STATES, MEMO_PAIRS = 120_000, 20_000, 150_000, 300_000
 #: From the start, moves over this many bytes are kept as one.
 JUMP, MEMO_JUMPS = 8, 80_000
 
@@ -253,26 +254,36 @@ _CLEAN = regex.compile(r"\S(?:.*\S)?", regex.DOTALL).fullmatch
 
 
 class Encoder:
-    """Splits texts by a pattern and encodes each match separately."""
+    """Splits texts by a pattern and encodes each match separately.
+
+    ``words`` keeps what follows a space by its text without the space, ``bare`` all other pieces.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern).findall
         self.space_led = pattern == SPACE_LED
-        self.pieces, self.words = Memo(MEMO_PIECES), Memo(MEMO_WORDS)
+        self.words, self.bare = Memo(MEMO_WORDS), Memo(MEMO_PIECES)
 
     def _plain(self, text: str) -> list[int]:
         found: list[int] = []
-        pieces = self.pieces
         for piece in self.split(text):
-            ids = pieces.get(piece)
+            memo, key = (self.words, piece[1:]) if piece[0] == " " and len(piece) > 1 and self.space_led and not _SPACE(piece[1]) else (self.bare, piece)
+            ids = memo.get(key)
             if ids is None:
                 ids = tuple(self.transducer.encode_piece(piece.encode("utf-8")))
                 if len(piece) <= 48:
-                    pieces.put(piece, ids)
+                    memo.put(key, ids)
             found += ids
         return found
 
+    def _word(self, part: str) -> tuple[int, ...]:
+        """Ids of a space and ``part``, which neither starts nor ends in white space."""
+        pieces = self.split(" " + part)
+        ids = tuple(self.transducer.encode_piece(pieces[0].encode("utf-8"))) if len(pieces) == 1 else tuple(self._plain(" " + part))
+        self.words.put(part, ids)
+        return ids
+
     def encode(self, text: str) -> array:
         if not self.space_led:
             return array("i", self._plain(text))
@@ -281,25 +292,23 @@ class Encoder:
         words = self.words
         run, joins = None, True  # what waits, and whether it ends in (or has yet no) other than white space
         for part in text.split(" "):
-            ids = None if joins else words.young.get(part) or words.get(part)
-            if ids is not None:
-                if run is not None:
-                    found += self._plain(run)
-                    run = None
-                found += ids
-                continue
-            clean = len(part) <= 48 and _CLEAN(part) is not None
-            if not joins and clean:
-                if run is not None:
-                    found += self._plain(run)
-                    run = None
-                ids = tuple(self._plain(" " + part))
-                words.put(part, ids)
-                found += ids
-                if len(found) > 1 << 16:
-                    out.extend(found)
-                    found.clear()
-                continue
+            if not joins:
+                ids = words.young.get(part)
+                if ids is None:
+                    ids = words.old.get(part)
+                    if ids is not None:
+                        words.put(part, ids)
+                    elif len(part) <= 48 and _CLEAN(part) is not None:
+                        ids = self._word(part)
+                if ids is not None:
+                    if run is not None:
+                        found += self._plain(run)
+                        run = None
+                    found += ids
+                    if len(found) > 1 << 16:
+                        out.extend(found)
+                        found.clear()
+                    continue
             starts = part[:1] and not _SPACE(part[0])
             if run is not None and not joins and starts:
                 found += self._plain(run)
@@ -429,9 +438,13 @@ def _decoder(ranks) -> StreamDecoder:
 
 
 def _share(df: DataFrame, path: str) -> Shared:
-    """The vocabulary file (a megabyte at most in public tokenizers) to every executor."""
+    """The vocabulary file (a megabyte at most in public tokenizers) to every executor.
+
+    Workers keep what they build from it by its content, so later queries find it again.
+    """
     with open(path, "rb") as f:
-        return Shared(df.sparkSession, f.read())
+        blob = f.read()
+    return Shared(df.sparkSession, blob, hashlib.sha256(blob).hexdigest())
 
 
 def _append(batch: pa.RecordBatch, name: str, column: pa.Array, drop: str) -> pa.RecordBatch:
@@ -439,28 +452,34 @@ def _append(batch: pa.RecordBatch, name: str, column: pa.Array, drop: str) -> pa
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), column], [*names, name])
 
 
-def encode(df: DataFrame, text_col: str = "text", *, vocab_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
-    """``keep`` columns plus ``ids`` (array<int>) of each whole text."""
+def encode(df: DataFrame, text_col: str = "text", *, vocab_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """``keep`` columns plus ``ids`` (array<int>) of each whole text.
+
+    ``decoded_col`` adds the text that the stream decoder gives for the ids, in the same task.
+    """
     small_batches(df.sparkSession)
     shared = _share(df, vocab_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(shared, pattern)
+        decoder = _decoder(shared) if decoded_col else None
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                values, offsets = array("i"), [0]
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                values, offsets, back = array("i"), [0], []
                 for text in part.column("__text"):
-                    text = text.as_py()
-                    if text:
-                        values.extend(coder.encode(text))
+                    ids = coder.encode(text.as_py() or "")
+                    values.extend(ids)
                     offsets.append(len(values))
+                    if decoder:
+                        back.append(decoder.decode(ids.tolist()))
                 flat = pa.Array.from_buffers(pa.int32(), len(values), [None, pa.py_buffer(values)])
-                yield _append(part, ids_col, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), "__text")
+                out = _append(part, ids_col, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), "__text")
+                yield _append(out, decoded_col, pa.array(back, pa.string()), "__text") if decoder else out
 
     slim = df.select(*keep, F.col(text_col).alias("__text"))
-    schema = T.StructType([*slim.select(*keep).schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    return slim.mapInArrow(run, schema)
+    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded_col, T.StringType())] * bool(decoded_col)
+    return slim.mapInArrow(run, T.StructType([*slim.select(*keep).schema.fields, *added]))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", *, vocab_path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "decoded") -> DataFrame:
@@ -483,7 +502,5 @@ def decode(df: DataFrame, ids_col: str = "ids", *, vocab_path: str, keep: tuple[
 
 def digests(docs: DataFrame, *, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: token count, hash of the decimal ids, hash of the text decoded from them again."""
-    ids = encode(docs, text_col, vocab_path=vocab_path, pattern=pattern, keep=(id_col,))
-    counted = ids.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "ids")
-    back = decode(counted, vocab_path=vocab_path, keep=(id_col, "n_tokens", "ids_sha256"))
-    return back.select(id_col, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = encode(docs, text_col, vocab_path=vocab_path, pattern=pattern, keep=(id_col,), decoded_col="decoded")
+    return both.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -28,9 +28,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 class Shared:
     """A broadcast of bounded size with an id by which Python workers keep what they build from it."""
 
-    def __init__(self, spark: SparkSession, value):
+    def __init__(self, spark: SparkSession, value, id_: str | None = None):
         self.broadcast = spark.sparkContext.broadcast(value)
-        self.id = uuid.uuid4().hex
+        self.id = id_ or uuid.uuid4().hex
 
     @property
     def value(self):
