@@ -42,10 +42,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keep = ("doc_id", "lang", "source")
-    ids = bpe.encode(docs, vocab_path=VOCAB, pattern=public_tokenizers.PATTERN, keep=keep)
-    counted = ids.select(*keep, F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("ids").alias("again"))
-    back = bpe.decode(counted, "again", vocab_path=VOCAB, keep=(*keep, "n_tokens", "ids"))
-    return back.select(*keep, "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe.encode(docs, vocab_path=VOCAB, pattern=public_tokenizers.PATTERN, keep=keep, decoded_col="decoded")
+    return both.select(*keep, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("mix", mix), ("tokens", tokens)]
