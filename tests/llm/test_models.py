@@ -34,6 +34,9 @@ def test_topk_equals_brute_force(spark):
             continue
         best = sorted((-int(v @ w), i is None, i or 0, i) for i, w in whole if i != q)[:5]
         assert sorted(got[q]) == [(k + 1, b[3], -b[0]) for k, b in enumerate(best)]
+    twice = table.where("vec_id < 3").unionByName(table.where("vec_id = 1")).withColumn("vec_id", F.col("vec_id") * 50).unionByName(table.where("vec_id = 0"))
+    found = [(r["query_id"], r["vec_id"]) for r in topk.search(twice, F.col("vec_id") % 50 == 0).collect()]
+    assert sorted(found) == [(0, 50), (0, 50), (0, 100), (50, 0), (50, 0), (50, 100), (100, 0), (100, 0), (100, 50), (100, 50)]
     few = topk.search(table.where("vec_id IN (0, 50)"), F.col("vec_id") % 50 == 0)
     assert sorted((r["query_id"], r["vec_id"]) for r in few.collect()) == [(0, 50), (50, 0)]
     assert topk.search(table.limit(0), F.lit(True)).count() == 0

@@ -13,8 +13,9 @@ split by a hash of the id.
 
 Vectors that are null, empty or hold a null, non-finite or (scaled) over-large component take no part, as
 queries or as candidates; shorter vectors count as padded by zeros. Rows that repeat an id are candidates
-of their own, but none is a candidate for a query of the same id. Null ids are candidates and never
-queries; of equal scores the smaller id comes first, null last. Empty tables give empty results.
+of their own, but none is a candidate for a query of the same id, which asks with its least vector.
+Null ids are candidates and never queries; of equal scores the smaller id comes first, null last. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -151,7 +152,8 @@ def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
     # One row a length class: a few thousand at most, as lengths are doubles.
     placed = vectors.join(F.broadcast(spark.createDataFrame(layout, "kind int, first int, count int")), "kind")
     placed = placed.withColumn("block", F.col("first") + F.pmod(F.xxhash64("id", "v"), F.col("count")).cast("int"))
-    queries = vectors.where("is_query AND id IS NOT NULL").select("id", "v", "length")
+    asked_once = vectors.where("is_query AND id IS NOT NULL").groupBy("id").agg(F.min(F.struct("v", "length")).alias("q"))
+    queries = cut(asked_once.select("id", "q.v", "q.length"))
     sets = max(1, math.ceil(queries.count() / QUERY_ROWS))
     queries = queries.withColumn("set", F.pmod(F.xxhash64("id"), F.lit(sets)).cast("int"))
     result = "query_id long, vec_id long, score long"
