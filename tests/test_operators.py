@@ -61,6 +61,24 @@ def test_window_emulations(spark):
     assert [r["v2"] for r in windows.fill(f, ["g"], "k", "v", "v2").orderBy("k").collect()][1:4] == [10.0, 20.0, 30.0]
 
 
+def test_fill_carries_the_line_past_both_ends(spark):
+    inf, nan = float("inf"), float("nan")
+    parts = {
+        1: [(10, None, 60), (20, None, 80), (30, 100, 100), (31, 102, 102), (90, None, 220)],
+        2: [(1, None, 5), (2, 5, 5), (3, None, 5)],
+        3: [(1, None, None), (2, None, None)],
+        4: [(1, 30, 30), (2, 20, 20), (3, None, 10), (4, None, 0)],
+        5: [(1, inf, inf), (2, None, 0), (3, 1, 1), (4, None, 2), (5, 3, 3), (inf, None, None), (None, 9, 9), (None, None, None)],
+    }
+    df = spark.createDataFrame([(g, None if k is None else float(k), None if v is None else float(v)) for g, p in parts.items() for k, v, _ in p], "g int, k double, v double")
+    expected = sorted(((g, None if k is None else float(k), None if f is None else float(f)) for g, p in parts.items() for k, _, f in p), key=repr)
+    assert rows(windows.fill(df, ["g"], "k", "v", "f").select("g", "k", "f")) == expected
+    odd = spark.createDataFrame([(1, 1.0, nan), (1, 2.0, None), (1, 3.0, 1.0), (1, 4.0, 3.0)], "g int, k double, v double")
+    assert [r["f"] for r in windows.fill(odd, ["g"], "k", "v", "f").orderBy("k").collect()][1:] == [-1.0, 1.0, 3.0]
+    tied = spark.createDataFrame([(1, 1, 10.0), (1, 1, 10.0), (1, 2, None)], "g int, k int, v double")
+    assert [r["f"] for r in windows.fill(tied, ["g"], "k", "v", "f").collect()] == [10.0] * 3
+
+
 def test_recursion(spark):
     anchor = spark.createDataFrame([(0,)], "n int")
     assert recursive.union_distinct(anchor, lambda d: d.select(((F.col("n") + 3) % 7).alias("n"))).count() == 7

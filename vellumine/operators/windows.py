@@ -37,13 +37,21 @@ def fill(df: DataFrame, partition: list[str], order: str, value: str, name: str)
     """Nulls of ``value`` interpolated along ``order`` between known neighbours; extrapolated at the ends.
 
     At an end with two known values on one side the line through them is continued; with one, it repeats.
+    Between keys that are equal, the earlier value stands. Rows whose key is null or not finite keep what
+    they have and, like values that are not finite, are no neighbours to others.
     """
     w = Window.partitionBy(*partition).orderBy(F.col(order).asc_nulls_last())
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).cast("double").alias("x"), F.col(value).cast("double").alias("y")))
-    marked = df.withColumn("__known", known)
-    marked = marked.withColumn("__a", F.last("__known", True).over(back)).withColumn("__b", F.first("__known", True).over(ahead))
-    x = F.col(order).cast("double")
-    between = F.col("__a.y") + (x - F.col("__a.x")) * (F.col("__b.y") - F.col("__a.y")) / F.nullif(F.col("__b.x") - F.col("__a.x"), F.lit(0.0))
-    value_filled = F.coalesce(F.col(value).cast("double"), between, F.col("__a.y"), F.col("__b.y"))
-    return marked.withColumn(name, F.when(F.col(order).isNotNull(), value_filled).otherwise(F.col(value).cast("double"))).drop("__known", "__a", "__b")
+    down = Window.partitionBy(*partition).orderBy(F.desc("__row"))
+    before, whole = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, Window.unboundedFollowing)
+    x, y = F.col(order).cast("double"), F.col(value).cast("double")
+    finite = lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False))
+    marked = df.withColumn("__known", F.when(finite(x) & finite(y), F.struct(x.alias("x"), y.alias("y")))).withColumn("__row", F.row_number().over(w))
+    marked = marked.withColumn("__a", F.last("__known", True).over(w.rowsBetween(*before))).withColumn("__second", F.nth_value("__known", 2, True).over(w.rowsBetween(*whole)))
+    marked = marked.withColumn("__b", F.last("__known", True).over(down.rowsBetween(*before))).withColumn("__last_but_one", F.nth_value("__known", 2, True).over(down.rowsBetween(*whole)))
+    # With nothing known before a row, the line runs through the first two known; with nothing behind, the last two.
+    start = F.when(F.col("__a").isNull(), F.col("__b")).when(F.col("__b").isNull(), F.coalesce("__last_but_one", "__a")).otherwise(F.col("__a"))
+    end = F.when(F.col("__a").isNull(), F.coalesce("__second", "__b")).otherwise(F.coalesce("__b", "__a"))
+    lined = marked.withColumn("__from", start).withColumn("__to", end)
+    line = F.col("__from.y") + (x - F.col("__from.x")) * (F.col("__to.y") - F.col("__from.y")) / F.nullif(F.col("__to.x") - F.col("__from.x"), F.lit(0.0))
+    filled_in = F.coalesce(y, F.when(finite(x), F.coalesce(line, F.col("__from.y"))))
+    return lined.withColumn(name, filled_in).drop("__known", "__row", "__a", "__second", "__b", "__last_but_one", "__from", "__to")
