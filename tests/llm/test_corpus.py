@@ -151,6 +151,32 @@ def test_mix_meets_targets_and_agrees_with_itself(spark):
     assert out.columns == df.columns and out.count() == sum(r["copies"] for r in got)
 
 
+@pytest.mark.parametrize("seed", ["mix", "a", "b", "c"])
+def test_mix_passes_over_what_does_not_fit(spark, seed):
+    draw_ = random.Random(5)
+    rows = [(i, draw_.randint(80, 800), s) for s, n in (("a", 0), ("b", 1000)) for i in range(n, n + 400)] + [(2000 + i, 60_000 if i == 0 else 5_000, s) for s in "ab" for i in range(12)]
+    # Rows that repeat an id come together or not at all.
+    rows += [(5000 + k % 40, 300, "b") for k in range(120)]
+    ids = [(i + (10_000 if s == "b" and 2000 <= i < 3000 else 0), n, s) for i, n, s in rows]
+    df = spark.createDataFrame([(i, "w " * n, s) for i, n, s in ids], "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(df, seed=seed).collect()
+    per_id = {r["doc_id"]: r["copies"] for r in got}
+    assert Counter((r["doc_id"], r["copies"]) for r in got) == Counter((i, per_id[i]) for i, _, _ in ids)
+    together = Counter()
+    for i, n, s in ids:
+        together[s, i] += n
+    for s in "ab":
+        words = sum(n for (t, _), n in together.items() if t == s)
+        quota = round(mixing.targets([sum(n for (t, _), n in together.items() if t == x) for x in "ab"], [5.0, 2.0])["ab".index(s)])
+        whole, left = divmod(quota, words)
+        for h, i in sorted((hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i) for t, i in together if t == s):
+            taken = together[s, i] <= left
+            left -= together[s, i] * taken
+            assert per_id[i] == whole + taken
+        assert left < 0.001 * quota
+    assert Counter(r["doc_id"] for r in mixing.mixed(df, seed=seed).select("doc_id").collect()) == Counter({i: sum(per_id[j] for j, _, _ in ids if j == i) for i in per_id if per_id[i]})
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0

@@ -4,9 +4,10 @@ Documents are added up by pattern, the set of sources that hold them. Every sour
 words; a pattern offers its words once at no cost, again at growing costs, up to a number of
 repetitions. The flow of least cost that fills the quotas says how many words each pattern gives. A
 pattern that gives so many times all its words and some more takes all documents so often, and once
-more those with the least seeded hashes, as far as whole documents fit, then the largest that still
-fit. The choice is a bound on the hash and a few single hashes a pattern, so applying it to any table
-of documents needs no shuffle.
+more, in the order of seeded hashes, every document that still fits: one that does not is passed over
+and the next ones are looked at, until none fits. The choice is a few runs a pattern, each a range of
+hashes and the most words a document in it may have, so applying it to any table of documents needs no
+shuffle; only where ids repeat are the words of their rows looked up.
 
 Only sums by pattern reach the driver: at most ``max_patterns`` rows, else an error; nothing is
 dropped. Null source is a source of its own and orders last; null texts have no words, and a document
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumine.llm.store import cut
+from vellumine.llm.store import cut, lookup_join
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -30,7 +31,8 @@ REPEATS = 3
 #: What a document's first, second and third copy cost.
 REPEAT_COSTS = (0, 1, 3)
 HEX_DIGITS = 3
-FILL_ROUNDS = 6
+#: Orders behind every hash.
+LAST_HASH = "g"
 
 
 def word_count(text: Column) -> Column:
@@ -120,23 +122,31 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, costs: tuple[int, ...
 
 @dataclass
 class Mix:
-    """What was decided: ``rules`` has a row a pattern; ``slim`` a row a document, without its text."""
+    """What was decided: ``rules`` has a row a pattern; ``slim`` a row a document, without its text.
+
+    ``repeated`` has the hashes that several documents share, with the words of all of them; None if there are none.
+    """
 
     rules: DataFrame
     slim: DataFrame
+    repeated: DataFrame | None
     words: dict
     quotas: dict
     seed: str
 
-    def apply(self, df: DataFrame, id_col: str, members: Column, *, size: Column | None = None) -> DataFrame:
-        """``df`` with ``__copies``: how often each document is taken."""
+    def apply(self, df: DataFrame, id_col: str, members: Column, *, size: Column) -> DataFrame:
+        """``df`` with ``__copies``: how often each document, of ``size`` words, is taken."""
+        keyed = df.withColumns({"__pattern": pattern_key(members), "__hash": seeded(F.col(id_col), self.seed), "__own": size})
+        if self.repeated is None:
+            keyed = keyed.withColumn("__together", F.col("__own"))
+        else:
+            total = self.repeated.agg(F.sum("n")).first()[0]
+            keyed = lookup_join(keyed, self.repeated, ["__pattern", "__hash"], "n", total, F.rand(), how="left").withColumn("__together", F.coalesce("__words", "__own")).drop("__words")
         # At most max_patterns rules, checked when they were made.
-        joined = df.withColumns({"__pattern": pattern_key(members), "__hash": seeded(F.col(id_col), self.seed)}).join(F.broadcast(self.rules), "__pattern", "left")
-        more = (F.col("__hash") <= F.col("__last")) | F.array_contains("__single", F.col("__hash"))
+        joined = keyed.join(F.broadcast(self.rules), "__pattern", "left")
+        more = F.exists("__runs", lambda r: (F.col("__hash") > r["after"]) & (F.col("__hash") <= r["upto"]) & (F.col("__together") <= r["most"]))
         copies = F.coalesce(F.col("__all") + F.coalesce(more, F.lit(False)).cast("int"), F.lit(0))
-        if size is not None:
-            copies = F.when(size == 0, F.lit(1)).otherwise(copies)
-        return joined.withColumn("__copies", copies).drop("__pattern", "__hash", "__last", "__single", "__all")
+        return joined.withColumn("__copies", F.when(F.col("__own") == 0, F.lit(1)).otherwise(copies)).drop("__pattern", "__hash", "__own", "__together", "__runs", "__all")
 
 
 def pattern_key(members: Column) -> Column:
@@ -169,8 +179,10 @@ def plan(docs: DataFrame, id_col: str, text_col: str, members: Column, *, seed:
         amount = sum(v for (k, _), v in given.items() if k == i)
         whole, rest = divmod(amount, words) if words else (0, 0)
         rules.append((row["__pattern"], int(whole), int(rest)))
-    chosen = _choose(slim, spark.createDataFrame(rules, "__pattern string, __all int, __rest long"), len(rules))
-    return Mix(chosen, slim, dict(zip(names, sizes, strict=True)), quotas, seed)
+    # Rows that repeat an id come together: their hash counts all their words.
+    sums = cut(slim.groupBy("__pattern", "__hash").agg(F.sum("__size").alias("__words"), F.count(F.lit(1)).alias("n")))
+    repeated = sums.where("n > 1")
+    return Mix(_choose(sums, rules), slim, None if repeated.isEmpty() else repeated, dict(zip(names, sizes, strict=True)), quotas, seed)
 
 
 def _overlapping_targets(total: int, sizes: list[int], scale: list[float]) -> list[float]:
@@ -179,48 +191,45 @@ def _overlapping_targets(total: int, sizes: list[int], scale: list[float]) -> li
     return [t / factor for t in targets(sizes, scale)]
 
 
-def _choose(slim: DataFrame, rules: DataFrame, count: int) -> DataFrame:
-    """Per pattern, the last hash of the run of documents taken once more, and the single ones beyond it."""
-    spark = slim.sparkSession
+def _choose(sums: DataFrame, rules: list[tuple[str, int, int]]) -> DataFrame:
+    """Per pattern, how often all is taken, and the runs of hashes that are taken once more.
+
+    A round takes documents of at most the words still wanted in the order of hashes, up to the first that is too
+    long for what is then left; the next round goes on behind. Each takes a document at least, so they end.
+    """
+    spark = sums.sparkSession
     part = F.substring("__hash", 1, HEX_DIGITS)
-    sums = slim.groupBy("__pattern", part.alias("__part")).agg(F.sum("__size").alias("words"))
-    before = Window.partitionBy("__pattern").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    running = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).join(F.broadcast(rules), "__pattern")
-    # The part of each pattern where the words run out: one row a pattern.
-    crossing = running.where("before <= __rest AND __rest < before + words").select("__pattern", "__part", "before", "__rest")
-    inside = slim.withColumn("__part", part).join(F.broadcast(crossing), ["__pattern", "__part"])
-    peers = Window.partitionBy("__pattern").orderBy("__hash").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = inside.withColumn("through", F.col("before") + F.sum("__size").over(peers)).where("through <= __rest")
-    ends = {r["__pattern"]: (r["last"], int(r["through"])) for r in reached.groupBy("__pattern").agg(F.max("__hash").alias("last"), F.max("through").alias("through")).collect()}
-    starts = {r["__pattern"]: (r["__part"], int(r["before"])) for r in crossing.collect()}
-    state = {}
-    for r in rules.collect():
-        key, rest = r["__pattern"], r["__rest"]
-        if not rest or key not in starts:
-            state[key] = ["", [], 0]
-            continue
-        first_part, taken = starts[key]
-        # No hash starts like a part and orders before it, so the part itself bounds the ones below.
-        last, taken = ends.get(key, (first_part, taken))
-        state[key] = [last, [], rest - taken]
-    for _ in range(FILL_ROUNDS):
-        if not any(v[2] for v in state.values()):
-            break
-        gaps = spark.createDataFrame([(k, v[0], v[1], v[2]) for k, v in state.items() if v[2]], "__pattern string, __last string, __single array<string>, __gap long")
-        free = slim.join(F.broadcast(gaps), "__pattern").where((F.col("__hash") > F.col("__last")) & ~F.array_contains("__single", F.col("__hash")))
-        # Rows that repeat an id come together: their hash counts all their words.
-        fits = free.where("__size > 0 AND __size <= __gap").groupBy("__pattern").agg(F.max(F.struct("__size", "__hash")).alias("best")).collect()
-        if not fits:
-            break
-        for r in fits:
-            entry = state[r["__pattern"]]
-            entry[1].append(r["best"]["__hash"])
-            entry[2] = max(0, entry[2] - r["best"]["__size"])
-        for k, v in state.items():
-            if not any(r["__pattern"] == k for r in fits):
-                v[2] = 0
-    final = [(k, v[0], v[1]) for k, v in state.items()]
-    return rules.select("__pattern", "__all").join(F.broadcast(spark.createDataFrame(final, "__pattern string, __last string, __single array<string>")), "__pattern")
+    runs = {key: [] for key, _, _ in rules}
+    open_ = {key: ("", rest) for key, _, rest in rules if rest}
+    while open_:
+        wanted = spark.createDataFrame([(k, after, gap) for k, (after, gap) in open_.items()], "__pattern string, __after string, __gap long")
+        free = sums.join(F.broadcast(wanted), "__pattern").where((F.col("__hash") > F.col("__after")) & F.col("__words").between(1, F.col("__gap"))).withColumn("__part", part)
+        parts = free.groupBy("__pattern", "__gap", "__part").agg(F.sum("__words").alias("words"))
+        through = Window.partitionBy("__pattern").orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        running = parts.withColumn("through", F.sum("words").over(through))
+        # The part of each pattern where the words run out, if they do: one row a pattern.
+        crossed = F.min(F.when(F.col("through") > F.col("__gap"), F.struct("__part", (F.col("through") - F.col("words")).alias("before"))))
+        crossing = running.groupBy("__pattern").agg(F.sum("words").alias("total"), crossed.alias("at")).select("__pattern", "total", "at.__part", "at.before")
+        inside = free.join(F.broadcast(crossing), ["__pattern", "__part"])
+        peers = Window.partitionBy("__pattern").orderBy("__hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        reached = inside.withColumn("taken", F.col("before") + F.sum("__words").over(peers)).where("taken <= __gap")
+        ends = reached.groupBy("__pattern").agg(F.max("__hash").alias("last"), F.max("taken").alias("taken"))
+        found = {r["__pattern"]: r for r in crossing.join(ends, "__pattern", "left").collect()}
+        for key, (after, gap) in list(open_.items()):
+            r = found.get(key)
+            if r is None or r["__part"] is None:
+                # All that fit are taken, if any do.
+                if r is not None:
+                    runs[key].append((after, LAST_HASH, gap))
+                del open_[key]
+                continue
+            # No hash starts like a part and orders before it, so the part itself bounds the ones below.
+            last, taken = (r["last"], r["taken"]) if r["last"] else (r["__part"], r["before"])
+            runs[key].append((after, last, gap))
+            open_[key] = (last, gap - int(taken))
+            if open_[key][1] == 0:
+                del open_[key]
+    return spark.createDataFrame([(key, whole, runs[key]) for key, whole, _ in rules], "__pattern string, __all int, __runs array<struct<after string, upto string, most long>>")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
