@@ -281,6 +281,23 @@ def test_near_copies_equal_brute_force(spark, block):
     assert jaccard.join(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    words = lambda k: " ".join(f"{k}w{j}" for j in range(30))
+    rows = [(1, words("a"), "x"), (2, words("a"), "x")]  # copies
+    rows += [(2, words("b"), "x")]  # a clean document whose id another class has as well
+    rows += [(3, words("c"), "x")] * 3 + [(3, words("c"), "y")] + [(4, words("c"), "x")]  # repeated rows of the least id
+    rows += [(None, words("d"), "x"), (None, words("d"), "y"), (None, words("d").upper(), "x")]  # copies without an id
+    rows += [(None, words("e"), "x"), (9, words("e"), "x")]  # an id goes before none
+    rows += [(1, words("f"), "x"), (1, words("f") + " more", "x")]  # near copies of one id
+    rows += [(7, None, "x"), (8, None, "x"), (7, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    stays = [tuple(r) for r in jaccard.representatives(df, recall=0.99999).collect()]
+    assert set(stays) <= set(rows)
+    classes = Counter((r[0], (r[1] or "none")[0].lower()) for r in stays)
+    assert classes == Counter([(1, "a"), (2, "b"), (3, "c"), (None, "d"), (9, "e"), (1, "f"), (7, "n")])
+    assert sorted(stays, key=repr) == sorted(map(tuple, jaccard.representatives(df.repartition(5), recall=0.99999).collect()), key=repr)
+
+
 def test_bands_reach_their_recall():
     for threshold, recall in ((0.8, 0.999), (0.8, 0.9), (0.5, 0.99)):
         bands, rows = jaccard.choose_bands(threshold, recall, 128)

@@ -227,8 +227,8 @@ def verify(rows: list[tuple], threshold: float, words: int) -> list[tuple[bytes,
     return [(rows[x][3], rows[top(x)][3], int(amounts[x])) for x in np.flatnonzero(linked.any(axis=1)).tolist()]
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """A row per document: its id, class_id, copy_of, n_copies, n_links."""
+def _placed(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame, int]:
+    """The signatures, a row a node with its copies, least_id, root of its class and links, and the number of documents."""
     small_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     signed = cut(signatures(docs, id_col, text_col, bands, rows, words))
@@ -276,7 +276,12 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     roots = components(links.where("node <> root"), "node", "root")
     sums = links.groupBy("node").agg(F.sum("links").alias("links"))
     placed = nodes.select("node", "copies", "least_id").join(roots, "node", "left").join(sums, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = cut(placed)
+    return signed, cut(placed), total
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """A row per document: its id, class_id, copy_of, n_copies, n_links; options as of ``_placed``."""
+    signed, placed, total = _placed(docs, id_col, text_col, **options)
     classes = placed.groupBy("root").agg(F.min("least_id").alias("class_id"), F.count(F.lit(1)).alias("weight"))
     named = lookup_join(placed, classes, ["root"], "weight", placed.count(), F.col("node"))
     per_node = named.select("node", F.col("copies").alias("weight"), "class_id", F.col("least_id").alias("copy_of"), F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
@@ -285,7 +290,25 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
 
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without those whose class has a smaller id; rows with a null id stay."""
-    found = join(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__gone_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone_id"), "left_anti")
+    """One row of ``docs`` of each class: that of the least id, null last, then of the least text hash.
+
+    Of rows that repeat id and text, the one stays whose columns have the least hash.
+    """
+    signed, placed, _ = _placed(docs, id_col, text_col, **options)
+    name = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("null"))
+    # Documents of one id and text share a node: they are counted before anything is dealt out by class.
+    rows = cut(signed.groupBy("node", "id", "th").agg(F.count(F.lit(1)).alias("rows")))
+    leasts = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "rows")).alias("least"))
+    chosen = leasts.join(placed.select("node", "root"), "node").groupBy("root").agg(F.min("least").alias("least"))
+    stays = cut(chosen.select("least.id", "least.th", "least.rows").select(name.alias("__name"), F.col("th").alias("__th"), F.col("rows").alias("__rows"), F.lit(True).alias("__stays")))
+    keyed = docs.withColumns({"__name": F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null")), "__th": F.xxhash64(text_col)})
+    keys, columns = ["__name", "__th"], [F.col(f"`{c}`") for c in docs.columns]
+    single = keyed.join(stays.where("__rows = 1").select(*keys), keys, "left_semi").select(*columns)
+    several = stays.where("__rows > 1")
+    if several.isEmpty():
+        return single
+    order = F.xxhash64(F.to_json(F.struct(*columns)))
+    total = several.agg(F.sum("__rows")).first()[0]
+    again = lookup_join(keyed, several, keys, "__rows", total, order, how="inner")
+    one = again.groupBy(*keys).agg(F.min_by(F.struct(*columns), order).alias("__row"))
+    return single.unionByName(one.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))
