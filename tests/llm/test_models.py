@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -42,6 +46,24 @@ def test_topk_equals_brute_force(spark):
     assert topk.search(table.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("block_rows", [4096, 20])
+def test_topk_keeps_every_finite_vector(spark, block_rows):
+    draw = random.Random(8)
+    # Floats up to 1e38, doubles up to 1e300, sums that int64 cannot hold, empty vectors; scores differ in their last digits.
+    vectors = [[draw.uniform(-1, 1) * 10 ** draw.choice([0, 0, 3, 6.5, 8, 17, 38, 150, 300]) for _ in range(8)] for _ in range(60)]
+    vectors += [[4_194_303.0 + d / 256] * 8 for d in range(5)] + [[5e6] * 8, [-5e6] * 8, [1e17] * 8, [], [0.0] * 8, [-1.0]]
+    lost = [None, [1.0, None], [float("nan")] * 8, [float("inf")] * 8]
+    df = spark.createDataFrame(list(enumerate(vectors + lost)), "vec_id long, embedding array<double>").repartition(3)
+    whole = [[math.floor(Fraction(x) * 256) for x in v] for v in vectors]
+    expected = []
+    for a in range(len(whole)):
+        scores = sorted((-sum(x * y for x, y in zip(whole[a], whole[b], strict=False)), b) for b in range(len(whole)) if a != b)
+        expected += [(a, k + 1, b, -s if abs(s) < 2**63 else None, str(-s)) for k, (s, b) in enumerate(scores[:5])]
+    got = topk.search(df, F.lit(True), block_rows=block_rows, exact_col="exact").collect()
+    assert sorted(map(tuple, got)) == expected
+
+
+
 def test_gradients_agree_with_differences():
     draw = np.random.default_rng(1)
     model = mil.Model(np.zeros(mil.WIDTH, np.float32), np.ones(mil.WIDTH, np.float32))

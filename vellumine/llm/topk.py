@@ -11,8 +11,11 @@ greatest length times their own can reach it. Queries go in blocks as well, so a
 each; nothing else grows with the table. Blocks that many vectors of one length would overfill are
 split by a hash of the id.
 
-Vectors that are null, empty or hold a null, non-finite or (scaled) over-large component take no part, as
-queries or as candidates; shorter vectors count as padded by zeros. Rows that repeat an id are candidates
+Only vectors that are null or hold a null or non-finite component take no part, as queries or as candidates;
+shorter vectors, empty ones too, count as padded by zeros. Whole components are kept as doubles, which hold
+them exactly. Where a product of lengths could leave int64, the score is a sum of Python's integers; scores
+travel as decimal text, so ranks are exact at any size. In the result a score beyond int64 is null, as the
+column is a long; ``exact_col`` adds all digits as text. Rows that repeat an id are candidates
 of their own, but none is a candidate for a query of the same id, which asks with its least vector.
 Null ids are candidates and never queries; of equal scores the smaller id comes first, null last. Empty
 tables give empty results.
@@ -21,6 +24,7 @@ tables give empty results.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +35,8 @@ from pyspark.sql import functions as F
 from vellumine.llm.store import cut
 
 SCALE = 256
-LIMIT = 1 << 30
+#: Doubles of this size or more are whole; products of lengths below SAFE cannot leave int64.
+WHOLE, SAFE = float(1 << 52), float(1 << 62)
 #: Lengths fall into classes of this many to a doubling; a class has one block or more.
 CLASSES = 16
 BLOCK_ROWS = 4096
@@ -41,13 +46,15 @@ MOST_BLOCKS = 50_000
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
-    """Whole components as array<long>; null for vectors that take no part."""
-    ok = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < LIMIT))
-    return F.when(vector.isNotNull() & (F.size(vector) > 0) & ok, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
+    """Whole components as array<double>; null for vectors that take no part."""
+    scaled = lambda x: x.cast("double") * scale
+    ok = F.forall(vector, lambda x: x.isNotNull() & (F.abs(scaled(x)) < float("inf")))
+    whole = F.transform(vector, lambda x: F.when(F.abs(scaled(x)) < WHOLE, F.floor(F.when(F.abs(scaled(x)) < WHOLE, scaled(x))).cast("double")).otherwise(scaled(x)))
+    return F.when(vector.isNotNull() & ok, whole)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width), np.int64)
+    out = np.zeros((len(column), width))
     flat, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     lengths = np.diff(ends)
     rows = np.repeat(np.arange(len(column)), lengths)
@@ -61,8 +68,9 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
         for batch in batches:
-            m = _matrix(batch.column(0), width).astype(np.float64)
-            total += m.T @ m
+            m = _matrix(batch.column(0), width)
+            with np.errstate(over="ignore", invalid="ignore"):
+                total += m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "row"])
 
     parts = vectors.select("v").mapInArrow(run, "i int, row array<double>")
@@ -70,6 +78,8 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
     moments = np.zeros((width, width))
     for r in summed:
         moments[r["i"], r["j"]] = r["x"]
+    if not np.isfinite(moments + moments.T).all():
+        return np.eye(width)  # any rotation keeps the bounds; only how soon they tell is lost
     _, basis = np.linalg.eigh((moments + moments.T) / 2)
     return np.ascontiguousarray(basis[:, ::-1])
 
@@ -79,9 +89,37 @@ def _steps(width: int) -> list[int]:
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    if score.dtype == object:
+        return np.array(sorted(range(len(score)), key=lambda i: (-score[i], ids[i]))[:k], np.int64)
     return np.lexsort((ids, -score))[:k]
 
 
+def _as_double(score: np.ndarray) -> np.ndarray:
+    """Nearest doubles of whole scores; infinite beyond them."""
+    if score.dtype != object:
+        return score.astype(np.float64)
+    return np.array([float(str(x)) for x in score], np.float64)
+
+
+def _lengths(m: np.ndarray) -> np.ndarray:
+    most = np.maximum(np.abs(m).max(axis=1, initial=0.0), 1.0)
+    return np.linalg.norm(m / most[:, None], axis=1) * most
+
+
+def _scores(q: np.ndarray, v: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Exact inner products of the pairs: int64, or Python's integers where a pair could leave it."""
+    q_long, v_long = _lengths(q), _lengths(v)
+    small = [np.where((long < SAFE)[:, None], m, 0.0).astype(np.int64) for m, long in ((q, q_long), (v, v_long))]
+    out = np.concatenate([np.einsum("ij,ij->i", small[0][rows[s : s + 100_000]], small[1][cols[s : s + 100_000]]) for s in range(0, len(rows), 100_000)])
+    large = np.flatnonzero((q_long[rows] * v_long[cols] >= SAFE) | (q_long[rows] >= SAFE) | (v_long[cols] >= SAFE))
+    if len(large):
+        out = out.astype(object)
+        for i in large.tolist():
+            out[i] = sum(int(a) * int(b) for a, b in zip(q[rows[i]].tolist(), v[cols[i]].tolist(), strict=True) if a and b)
+    return out
+
+
+@np.errstate(over="ignore", invalid="ignore")
 def search_block(queries: tuple, block: tuple, basis: np.ndarray, k: int) -> list[tuple[int, int | None, int]]:
     """Candidates (query, vector, score) that can be in a top k, of one block of queries and one of vectors.
 
@@ -90,30 +128,30 @@ def search_block(queries: tuple, block: tuple, basis: np.ndarray, k: int) -> lis
     """
     qid, q, bound = queries
     vid, missing, v = block
-    order = np.argsort(-np.linalg.norm(v.astype(np.float64), axis=1), kind="stable")
+    order = np.argsort(-_lengths(v), kind="stable")
     vid, missing, v = vid[order], missing[order], v[order]
-    qr, bound = q.astype(np.float64) @ basis, bound.copy()
+    qr, bound = q @ basis, bound.copy()
     big = np.iinfo(np.int64).max
     held: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in qid]
     ranked = np.where(missing, big, vid)
     for start in range(0, len(vid), 512):
         part, names = v[start : start + 512], ranked[start : start + 512]
-        vr = part.astype(np.float64) @ basis
+        vr = part @ basis
         # Rounding of the rotated sums is far below this share of the lengths' product.
         slack = 1e-9 * np.outer(np.linalg.norm(qr, axis=1), np.linalg.norm(vr, axis=1)) + 1e-6
         rows = cols = None
         for stop in _steps(q.shape[1]):
             if rows is None:
                 partial = qr[:, :stop] @ vr[:, :stop].T + np.outer(np.linalg.norm(qr[:, stop:], axis=1), np.linalg.norm(vr[:, stop:], axis=1))
-                rows, cols = np.nonzero((partial + slack >= bound[:, None]) & (qid[:, None] != names[None, :]))
+                rows, cols = np.nonzero(~(partial + slack < bound[:, None]) & (qid[:, None] != names[None, :]))
             elif len(rows) < 200_000:
                 partial = np.einsum("ij,ij->i", qr[rows, :stop], vr[cols, :stop]) + np.linalg.norm(qr[:, stop:], axis=1)[rows] * np.linalg.norm(vr[:, stop:], axis=1)[cols]
-                kept = partial + slack[rows, cols] >= bound[rows]
+                kept = ~(partial + slack[rows, cols] < bound[rows])
                 rows, cols = rows[kept], cols[kept]
         if not len(rows):
             continue
-        scores = np.concatenate([np.einsum("ij,ij->i", q[rows[s : s + 100_000]], part[cols[s : s + 100_000]]) for s in range(0, len(rows), 100_000)])
-        good = scores >= bound[rows]
+        scores = _scores(q, part, rows, cols)
+        good = _as_double(scores) >= bound[rows]
         rows, cols, scores = rows[good], cols[good], scores[good]
         for row, first, last in zip(*_runs(rows), strict=True):
             score = np.concatenate([held[row][0], scores[first:last]])
@@ -121,7 +159,7 @@ def search_block(queries: tuple, block: tuple, basis: np.ndarray, k: int) -> lis
             top = _best(score, name, k)
             held[row] = score[top], name[top]
             if len(top) == k:
-                bound[row] = max(bound[row], score[top[-1]])
+                bound[row] = max(bound[row], _as_double(score[top[-1:]])[0])
     return [(int(qid[r]), None if n == big else int(n), int(s)) for r, (score, name) in enumerate(held) for s, n in zip(score, name, strict=True)]
 
 
@@ -130,15 +168,16 @@ def _runs(rows: np.ndarray) -> tuple[list, list, list]:
     return rows[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(rows)]
 
 
-def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = SCALE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query row, the ``k`` best other vectors."""
+def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = SCALE, block_rows: int = BLOCK_ROWS, exact_col: str | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query row, the ``k`` best other vectors; ``exact_col`` adds the score as text."""
     spark = table.sparkSession
     whole = table.select(F.col(id_col).cast("long").alias("id"), is_query.alias("is_query"), quantised(F.col(vector_col), scale).alias("v")).where("v IS NOT NULL")
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    kind = F.floor(F.log2(F.greatest(length, F.lit(1.0))) * CLASSES).cast("int")
-    vectors = cut(whole.withColumn("length", length).withColumn("kind", kind))
+    most = F.greatest(F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x))), F.lit(1.0))
+    length = F.least(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / F.col("most")) * (x / F.col("most")))) * F.col("most"), F.lit(sys.float_info.max))
+    kind = F.floor(F.log2(F.greatest(F.col("length"), F.lit(1.0))) * CLASSES).cast("int")
+    vectors = cut(whole.withColumn("most", most).withColumn("length", length).drop("most").withColumn("kind", kind))
     found = vectors.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("most"), F.max(F.size("v")).alias("width")).orderBy(F.desc("kind")).collect()
-    empty = "query_id long, rank int, vec_id long, score long"
+    empty = "query_id long, rank int, vec_id long, score long" + (f", `{exact_col}` string" if exact_col else "")
     if not found:
         return spark.createDataFrame([], empty)
     width, total = max(r["width"] for r in found), sum(r["n"] for r in found)
@@ -156,7 +195,7 @@ def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
     queries = cut(asked_once.select("id", "q.v", "q.length"))
     sets = max(1, math.ceil(queries.count() / QUERY_ROWS))
     queries = queries.withColumn("set", F.pmod(F.xxhash64("id"), F.lit(sets)).cast("int"))
-    result = "query_id long, vec_id long, score long"
+    result = "query_id long, vec_id long, score string"
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, names = left.column("id").to_numpy(), right.column("vec").combine_chunks()
@@ -168,7 +207,7 @@ def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
             q, v = (_matrix(column.combine_chunks(), width) for column in (left.column("v"), right.column("w")))
             out = search_block((ids, q, bound), (vid, missing, v), basis, k)
         a, b, c = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.int64())})
+        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array([str(x) for x in c], pa.string())})
 
     def pairs(asked: DataFrame, among: DataFrame) -> DataFrame:
         """``asked`` has (id, v, bound, set, block); ``among`` (id, v, block), sent to every set of queries."""
@@ -176,19 +215,22 @@ def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
         return asked.groupBy("set", "block").cogroup(spread.groupBy("among_set", "among_block")).applyInArrow(meet, result)
 
     def ranked(candidates: DataFrame) -> DataFrame:
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+        below, digits = F.col("score").startswith("-"), F.length("score")
+        falling = (F.desc(F.when(below, -digits).otherwise(digits)), F.desc(F.when(~below, F.col("score"))), F.asc(F.when(below, F.col("score"))))
+        order = Window.partitionBy("query_id").orderBy(*falling, F.asc_nulls_last("vec_id"))
         return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     start = queries.select("id", "v", F.lit(float("-inf")).alias("bound"), "set", F.lit(0).alias("block"))
     longest = cut(ranked(pairs(start, placed.where("block = 0"))))
     bounds = longest.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("bound")).distinct()
     bounded = queries.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+    columns = ["query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.expr("try_cast(score AS bigint)").alias("score"), *([F.col("score").alias(exact_col)] if exact_col else [])]
     if blocks == 1:
-        return longest.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        return longest.select(*columns)
     # Classes in falling order of length: the blocks that can matter are those up to the last such class.
     reached = [F.when(F.lit(r["most"]) * F.col("length") * (1 + 1e-9) + 1e-6 >= F.col("bound"), F.lit(start + count - 1)) for r, (_, start, count) in zip(found, layout, strict=True)]
     sent = bounded.withColumn("last", F.coalesce(F.array_max(F.array(*reached)), F.lit(0))).where("last >= 1")
     asked = sent.withColumn("block", F.explode(F.sequence(F.lit(1), F.col("last")))).select("id", "v", "bound", "set", "block")
     rest = pairs(asked, placed.where("block > 0"))
     merged = longest.select("query_id", "vec_id", "score").unionByName(rest)
-    return ranked(merged).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked(merged).select(*columns)
