@@ -124,6 +124,12 @@ def age(spark, folder):
     return table(spark, folder, "orders").where("day(o_orderdate) < 28").select("o_orderkey", dates.date_sub("month", C("o_orderdate"), end).alias("m"), dates.age(end, C("o_orderdate"))["months"].cast("long").alias("am"))
 
 
+@suite.add("fn_age_all", "SELECT o_orderkey, date_sub('month', o_orderdate, TIMESTAMP '2002-05-17 00:00:00') AS m, CAST(date_part('year', age(TIMESTAMP '2002-05-17 00:00:00', o_orderdate)) * 12 + date_part('month', age(TIMESTAMP '2002-05-17 00:00:00', o_orderdate)) AS BIGINT) AS am FROM orders")
+def age_all(spark, folder):
+    end = F.lit("2002-05-17").cast("timestamp_ntz")
+    return table(spark, folder, "orders").select("o_orderkey", dates.date_sub("month", C("o_orderdate"), end).alias("m"), dates.age(end, C("o_orderdate"))["months"].cast("long").alias("am"))
+
+
 @suite.add("fn_make_timestamps", "SELECT event_id, make_timestamp(1700000000000000 + event_id * 1000000) AS a, make_date(2024, 2, 29) AS d, epoch_ms(1700000000000 + event_id * 1000) AS ms FROM events")
 def make_timestamps(spark, folder):
     i = C("event_id")

@@ -22,6 +22,7 @@ suite.both("rel_order_nulls", "SELECT x, row_number() OVER (ORDER BY x ASC NULLS
 suite.both("rel_cte", "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 200000), per AS (SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM big GROUP BY o_custkey) SELECT * FROM per WHERE n > 1")
 suite.both("rel_set_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 suite.both("rel_set_union_all", "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 50 UNION ALL SELECT s_nationkey FROM supplier")
+suite.both("rel_set_union_all_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
 suite.both("rel_set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 suite.both("rel_set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000")
 suite.both("rel_set_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
@@ -91,6 +92,13 @@ def recursive_key(spark, folder):
     return recursive.using_key(anchor, ["n"], lambda changed, _: changed.join(edges, changed["n"] == edges["a"]).select(F.col("b").alias("n"), (F.col("d") + 1).alias("d")), "d")
 
 
+@suite.add("rel_recursive_using_key_all", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 40 AS a, l_partkey % 40 AS b FROM lineitem), r(n, d) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.b, r.d + 1 FROM r JOIN e ON e.a = r.n WHERE r.d < 40) SELECT n, CAST(min(d) AS INT) AS d FROM r GROUP BY n")
+def recursive_key_all(spark, folder):
+    edges = table(spark, folder, "lineitem").selectExpr("l_suppkey % 40 AS a", "l_partkey % 40 AS b").distinct()
+    anchor = spark.range(1).select(F.lit(0).cast("long").alias("n"), F.lit(0).alias("d"))
+    return recursive.using_key(anchor, ["n"], lambda changed, _: changed.join(edges, changed["n"] == edges["a"]).select(F.col("b").alias("n"), (F.col("d") + 1).alias("d")), "d")
+
+
 @suite.add("rel_merge", """SELECT s.s_suppkey, CASE WHEN u.k IS NULL THEN s.s_acctbal ELSE round(s.s_acctbal + u.b, 2) END AS s_acctbal FROM supplier s LEFT JOIN (SELECT s_suppkey AS k, s_nationkey * 1.5 AS b FROM supplier WHERE s_suppkey % 3 = 0) u ON u.k = s.s_suppkey WHERE u.k IS NULL OR s.s_acctbal >= 0
     UNION ALL SELECT 1000000, 1.0""")
 def merge(spark, folder):
@@ -107,8 +115,11 @@ def summarize(spark, folder):
 
 suite.texts("rel_unnest", "SELECT doc_id, CAST(pos AS BIGINT) AS pos, word FROM (SELECT doc_id, posexplode(slice(split(text, ' '), 1, 5)) AS (pos, word) FROM documents WHERE doc_id < 50)",
             "SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ')[1:5] AS w FROM documents WHERE doc_id < 50)")
+suite.texts("rel_unnest_all", "SELECT doc_id, CAST(pos AS BIGINT) AS pos, word FROM (SELECT doc_id, posexplode(split(text, ' ')) AS (pos, word) FROM documents)",
+            "SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
 suite.texts("rel_generate_series", "SELECT id AS x, id * id AS y FROM range(3, 40, 4)", "SELECT range AS x, range * range AS y FROM range(3, 40, 4)")
 suite.texts("rel_list_comprehension", "SELECT c_custkey, filter(transform(sequence(1, 5), x -> x * c_nationkey), y -> y % 2 = 0) AS l FROM customer WHERE c_custkey < 100", "SELECT c_custkey, [x * c_nationkey FOR x IN range(1, 6) IF (x * c_nationkey) % 2 = 0] AS l FROM customer WHERE c_custkey < 100".replace("range(1, 6)", "[1, 2, 3, 4, 5]"))
+suite.texts("rel_list_comprehension_all", "SELECT c_custkey, filter(transform(sequence(1, 5), x -> x * c_nationkey), y -> y % 2 = 0) AS l FROM customer", "SELECT c_custkey, [x * c_nationkey FOR x IN range(1, 6) IF (x * c_nationkey) % 2 = 0] AS l FROM customer".replace("range(1, 6)", "[1, 2, 3, 4, 5]"))
 
 
 @suite.add("rel_prepared", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 250000 AND o_orderstatus = 'O'")
@@ -123,6 +134,12 @@ def macro(spark, folder):
     return run_sql(spark, folder, "SELECT l_orderkey, l_linenumber, round(vl_charge(l_extendedprice, l_discount, l_tax), 2) AS charge FROM lineitem WHERE l_orderkey < 500")
 
 
+@suite.add("rel_macro_scalar_all", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge FROM lineitem")
+def macro_all(spark, folder):
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vl_charge(p DOUBLE, d DOUBLE, t DOUBLE DEFAULT 0.0D) RETURNS DOUBLE RETURN p * (1 - d) * (1 + t)")
+    return run_sql(spark, folder, "SELECT l_orderkey, l_linenumber, round(vl_charge(l_extendedprice, l_discount, l_tax), 2) AS charge FROM lineitem")
+
+
 @suite.add("rel_macro_table", "SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000")
 def macro_table(spark, folder):
     table(spark, folder, "customer").createOrReplaceTempView("customer")
