@@ -86,6 +86,56 @@ def test_gradients_agree_with_differences():
         assert abs((up - down) / 2e-6 - slopes[name][at]) < 1e-4 * max(1, abs(slopes[name][at])) + 1e-5
 
 
+def plain_score(model, bag):
+    """One document's score, passage by passage."""
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    states, weights = [], []
+    for row in bag.astype(float):
+        x = (row - model.mean) * model.scale
+        h = np.array([max(0.0, float(x @ p["W"][:, j] + p["b"][j])) for j in range(mil.HIDDEN)])
+        gate = [math.tanh(float(h @ p["V"][:, j])) / (1 + math.exp(-float(h @ p["U"][:, j]))) for j in range(mil.GATE)]
+        states.append(h)
+        weights.append(math.exp(sum(g * float(p["w"][j, 0]) for j, g in enumerate(gate))))
+    mixed = sum(w * h for w, h in zip(weights, states, strict=True)) / sum(weights)
+    return 1 / (1 + math.exp(-(float(mixed @ p["c"][:, 0]) + float(p["d"][0]))))
+
+
+def test_scores_equal_a_plain_computation(spark):
+    texts = ["a word or two", "", None, "Many words, of many kinds! 12 {x}. " * 300, "é ü " * 90, " \n\n lead " + "z " * 64]
+    bags = [mil.features(t) for t in texts]
+    model = mil.fit(bags, np.array([1, 0, 0, 1, 0, 1]), epochs=3)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r["score"] for r in mil.score(docs, model).collect()}
+    assert all(abs(got[i] - plain_score(model, bag)) < 1e-4 for i, bag in enumerate(bags))
+
+
+def test_features_do_not_depend_on_the_size_of_parts(monkeypatch):
+    draw = random.Random(3)
+    text = " ".join("".join(draw.choice("abcXYZ.,!{}1é\n") for _ in range(draw.randint(1, 12))) for _ in range(60_000))
+    in_parts = mil.features("  \n" + text)
+    monkeypatch.setattr(mil, "BLOCK_BYTES", 1 << 30)
+    whole = mil.features("  \n" + text)
+    monkeypatch.setattr(mil, "BLOCK_BYTES", 1)
+    assert np.array_equal(in_parts, whole) and np.array_equal(mil.features("  \n" + text), whole)
+
+
+def test_fitting_takes_whole_documents_within_its_bounds(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(mil, "fit", lambda bags, y: seen.update(bags=[len(b) for b in bags], y=y.tolist()) or 0.25)
+    docs = spark.createDataFrame([(i, "word " * (64 * (i % 7 + 1))) for i in range(60)] + [(0, "other " * 64)] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    chosen = sorted((i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    mil.train(docs, labels, train_docs=9)
+    assert seen["y"] == [i % 2 for i in chosen[:9]] and all(n == i % 7 + 1 for n, i in zip(seen["bags"], chosen[:9], strict=True) if i)
+    mil.train(docs, labels, train_docs=30, train_passages=45)
+    taken, room = [], 45
+    for i in chosen[:30]:
+        if i % 7 + 1 <= room:
+            taken.append(i % 7 + 1)
+            room -= taken[-1]
+    assert seen["bags"] == taken
+
+
 def test_classifier_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
@@ -137,6 +187,25 @@ def test_pipeline_stage_by_stage(spark):
         assert r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, repeated rows and ids, clashing names, no n_chars, and an empty table, through every stage."""
+    words = lambda k, n=40: " ".join(f"{k}w{j}" for j in range(n))
+    rows = [(1, words("a"), "s"), (1, words("a"), "s"), (2, None, None), (3, "", "s"), (None, words("b"), "t"), (5, words("c", 90_000), "t"), (6, words("d") + "\n" + words("e"), "t"), (7, words("d") + "\n" + words("e") + "\nmore", "t"), (7, words("f"), "s")]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    clash = "doc_id long, text string, source string, score double, gone string, copy int, __k string, ids string, th long"
+    docs = spark.createDataFrame([(*r, 0.1, "g", 2, "k", "i", 3) for r in rows], clash)
+    for part in (docs, docs.limit(0)):
+        now = part
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, str(tmp_path)).cache()
+            if name != "tokens":
+                assert now.columns == docs.columns and all((r["gone"], r["copy"], r["__k"], r["ids"], r["th"]) == ("g", 2, "k", "i", 3) for r in now.collect())
+        assert now.columns == ["doc_id", "source", "score", "gone", "copy", "__k", "th", "n_tokens", "ids", "decoded_sha256"]
+        assert (now.count() > 0) == (part is docs)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, corpus_pipeline.lines(spark, docs, ""), "").collect()}
+    assert kept == {None, 1, 2, 5, 6, 7}
+
+
 def Counter_(items):
     from collections import Counter
 

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -76,6 +77,23 @@ def test_bpe_query(spark, reference):
     assert bpe.digests(docs.limit(0), vocab_path=VOCAB, pattern=public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_cuts_at_white_space_of_all_kinds(ranks, reference):
+    coder, draw = bpe.Encoder(ranks, public_tokenizers.PATTERN), random.Random(6)
+    some = ["".join(draw.choice("ab.'s1\u00e9\u4e2d \n\t\r\x0b\x1c\x85\u00a0\u1680\u2003\u2028\u3000") for _ in range(draw.randint(0, 40))) for _ in range(3000)]
+    ids = coder.encode_all(pa.array([*some, None], pa.string()))
+    assert ids.to_pylist() == [*map(reference.encode_ordinary, some), []]
+    assert bpe.StreamDecoder({r: t for t, r in ranks.items()}).decode_all(ids).to_pylist() == [*some, ""]
+
+
+def test_bpe_kept_columns_of_any_name(spark, reference):
+    docs = spark.createDataFrame([(1, "some text", "a", "b", "c")], "doc_id long, text string, ids string, given string, `c.0` string")
+    out = bpe.encode(docs, vocab_path=VOCAB, pattern=public_tokenizers.PATTERN, keep=("doc_id", "ids", "given", "c.0"), decoded_col="text")
+    assert out.columns == ["doc_id", "given", "c.0", "ids", "text"]
+    assert tuple(out.first()) == (1, "b", "c", reference.encode_ordinary("some text"), "some text")
+    back = bpe.decode(out.drop("text"), vocab_path=VOCAB, keep=("given",), text_col="t").first()
+    assert tuple(back) == ("b", "some text")
+
+
 def test_unigram_equals_the_library(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     vocabulary = unigram.load_sentencepiece(path)

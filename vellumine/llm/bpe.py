@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumine.llm.store import Shared, small_batches
+from vellumine.llm.store import Shared, slices
 
 #: Bounds of what a worker keeps: pieces of text, states with their transitions, answers on token pairs.
 MEMO_PIECES, MEMO_STATES, MEMO_PAIRS = 250_000, 1 << 16, 1 << 20
 #: Longer pieces of text (bytes) are not kept.
 MEMO_BYTES = 48
-#: Rows of an Arrow batch that are encoded together.
-ROWS = 1000
+#: Rows and bytes of an Arrow batch that are encoded together: the more, the more pieces are equal.
+SLICE_ROWS, SLICE_BYTES = 4000, 8 << 20
 #: So many matches pass the transducer side by side if they have at most so many bytes; longer ones go alone,
 #: and their tokens are settled whenever LOOKAHEAD bytes wait.
 LANES, LANE_BYTES, LOOKAHEAD = 1 << 15, 64, 256
@@ -638,8 +638,7 @@ def _in_order(df: DataFrame, column: str, keep: tuple[str, ...], added: list[T.S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = work()
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
+            for part in slices(batch, SLICE_ROWS, SLICE_BYTES):
                 columns = [*part.columns[:-1], *make(part.columns[-1])]
                 yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
@@ -652,7 +651,6 @@ def encode(df: DataFrame, text_col: str = "text", *, vocab_path: str, pattern: s
 
     ``decoded_col`` adds the text that the stream decoder gives for the ids, in the same task.
     """
-    small_batches(df.sparkSession)
     shared = _share(df, vocab_path)
 
     def work():
@@ -670,7 +668,6 @@ def encode(df: DataFrame, text_col: str = "text", *, vocab_path: str, pattern: s
 
 def decode(df: DataFrame, ids_col: str = "ids", *, vocab_path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "decoded") -> DataFrame:
     """``keep`` columns plus the text of each id sequence; null sequences decode as the empty text."""
-    small_batches(df.sparkSession)
     shared = _share(df, vocab_path)
 
     def work():

@@ -23,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm.components import components
-from vellumine.llm.store import cut, lookup_join, small_batches
+from vellumine.llm.store import cut, lookup_join, slices
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 64
 #: Nodes of a bucket that are checked in one piece; larger buckets are cut into blocks of about this.
@@ -110,16 +110,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch)):
             nodes, sizes, signed = [], [], []
-            for text in batch.column(2):
+            for text in part.column(2):
                 grams = shingles(text.as_py(), words)
                 nodes.append(xxhash.xxh128_digest(grams.tobytes()))
                 sizes.append(len(grams))
                 signed.append(signer.sign(grams))
-            flat = np.concatenate(signed) if signed else np.empty(0, np.int64)
+            flat = np.concatenate(signed)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(signed) + 1) * bands, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), lists], ["id", "th", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), lists], ["id", "th", "node", "n", "bands"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
     return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, th long, node binary, n int, bands array<long>")
@@ -194,8 +194,8 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def verify(rows: list[tuple], threshold: float, words: int) -> list[tuple[bytes, bytes, int]]:
-    """(node, root of its links here, documents linked) of the rows (bucket, i, j, node, block, n, copies, bands, text)."""
+def verify(rows: list[tuple], threshold: float) -> list[tuple[bytes, bytes, int]]:
+    """(node, root of its links here, documents linked) of the rows (bucket, i, j, node, block, n, copies, bands, grams)."""
     rows = list({r[3]: r for r in rows}.values())
     bands = np.array([r[7] for r in rows], np.int64)
     bucket, i, j = rows[0][:3]
@@ -208,7 +208,7 @@ def verify(rows: list[tuple], threshold: float, words: int) -> list[tuple[bytes,
     np.fill_diagonal(check, False)
     if not check.any():
         return []
-    inter = overlaps([shingles(r[8], words) for r in rows])
+    inter = overlaps([np.frombuffer(r[8], np.uint64) for r in rows])
     linked = check & (inter >= threshold * (n[:, None] + n[None, :] - inter) - 1e-9)
     copies = np.array([r[6] for r in rows], np.int64)
     root = list(range(len(rows)))
@@ -227,13 +227,43 @@ def verify(rows: list[tuple], threshold: float, words: int) -> list[tuple[bytes,
     return [(rows[x][3], rows[top(x)][3], int(amounts[x])) for x in np.flatnonzero(linked.any(axis=1)).tolist()]
 
 
+def _name(id_: Column) -> Column:
+    """An id as a key that joins nulls as well."""
+    return F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit("null"))
+
+
+def _one_text(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, n, copies, bands, text) of the wanted nodes; a text that several rows of one id repeat comes once."""
+    keys, columns = ["name", "th"], ["node", "n", "copies", "bands", "text"]
+    single = wanted.where("rows = 1").drop("rows").join(texts, keys).select(*columns)
+    several = cut(wanted.where("rows > 1"))
+    total = several.agg(F.sum("rows")).first()[0]
+    if not total:
+        return single
+    # Copies meet in their own partitions first, where all but one go.
+    found = lookup_join(texts, several, keys, "rows", total, F.spark_partition_id(), how="inner")
+    return single.unionByName(found.groupBy("node").agg(*[F.first(c).alias(c) for c in columns[1:]]))
+
+
+def _grams(texts: DataFrame, words: int) -> DataFrame:
+    """The rows of ``_one_text`` with the sorted hashes of their sets in place of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in slices(batch)):
+            grams = pa.array([shingles(text.as_py(), words).tobytes() for text in part.column(4)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], grams], ["node", "n", "copies", "bands", "grams"])
+
+    return texts.mapInArrow(run, "node binary, n int, copies long, bands array<long>, grams binary")
+
+
 def _placed(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame, int]:
     """The signatures, a row a node with its copies, least_id, root of its class and links, and the number of documents."""
-    small_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     signed = cut(signatures(docs, id_col, text_col, bands, rows, words))
     total = signed.count()
-    nodes = cut(signed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least_id"), F.min(F.struct("id", "th")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    # Rows of one id and text first, so that it is known how many rows the text of a node would be found in.
+    rows = signed.groupBy("node", "id", "th").agg(F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = cut(rows.groupBy("node").agg(F.sum("rows").alias("copies"), F.min("id").alias("least_id"), F.min(F.struct("rows", "id", "th")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     slim = nodes.where("n > 0").select("node", F.explode("bands").alias("bucket"))
     counted = cut(slim.groupBy("bucket").agg(F.count(F.lit(1)).alias("weight")).where("weight > 1")).withColumn("m", F.col("weight"))
     held = counted.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
@@ -259,14 +289,13 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRE
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = large.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block")
     work = cut(small.unionByName(large))
-    wanted = work.select("node").distinct().join(nodes, "node").select("node", "n", "copies", "bands", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    sets = wanted.join(texts, (F.col("rep_th") == F.col("th")) & F.col("rep_id").eqNullSafe(F.col("id"))).select("node", "n", "copies", "bands", "text")
-    full = work.join(sets, "node").select("bucket", "i", "j", "node", "block", "n", "copies", "bands", "text")
+    wanted = work.select("node").distinct().join(nodes, "node").select("node", "n", "copies", "bands", _name(F.col("rep.id")).alias("name"), F.col("rep.th").alias("th"), F.col("rep.rows").alias("rows"))
+    sets = _grams(_one_text(docs.select(_name(F.col(id_col)).alias("name"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")), wanted), words)
+    full = work.join(sets, "node").select("bucket", "i", "j", "node", "block", "n", "copies", "bands", "grams")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            found = verify(group, threshold, words)
+            found = verify(group, threshold)
             if found:
                 a, b, c = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.int64())], ["node", "root", "links"])
@@ -295,20 +324,21 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Of rows that repeat id and text, the one stays whose columns have the least hash.
     """
     signed, placed, _ = _placed(docs, id_col, text_col, **options)
-    name = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("null"))
     # Documents of one id and text share a node: they are counted before anything is dealt out by class.
     rows = cut(signed.groupBy("node", "id", "th").agg(F.count(F.lit(1)).alias("rows")))
     leasts = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "rows")).alias("least"))
     chosen = leasts.join(placed.select("node", "root"), "node").groupBy("root").agg(F.min("least").alias("least"))
-    stays = cut(chosen.select("least.id", "least.th", "least.rows").select(name.alias("__name"), F.col("th").alias("__th"), F.col("rows").alias("__rows"), F.lit(True).alias("__stays")))
-    keyed = docs.withColumns({"__name": F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null")), "__th": F.xxhash64(text_col)})
-    keys, columns = ["__name", "__th"], [F.col(f"`{c}`") for c in docs.columns]
+    stays = cut(chosen.select("least.id", "least.th", "least.rows").select(_name(F.col("id")).alias("__name"), F.col("th").alias("__th"), F.col("rows").alias("__rows"), F.lit(True).alias("__stays")))
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    id_, text = (columns[docs.columns.index(c)] for c in (id_col, text_col))
+    keyed = docs.toDF(*columns).withColumns({"__name": _name(F.col(id_)), "__th": F.xxhash64(text)})
+    keys = ["__name", "__th"]
     single = keyed.join(stays.where("__rows = 1").select(*keys), keys, "left_semi").select(*columns)
     several = stays.where("__rows > 1")
     if several.isEmpty():
-        return single
+        return single.toDF(*docs.columns)
     order = F.xxhash64(F.to_json(F.struct(*columns)))
     total = several.agg(F.sum("__rows")).first()[0]
     again = lookup_join(keyed, several, keys, "__rows", total, order, how="inner")
     one = again.groupBy(*keys).agg(F.min_by(F.struct(*columns), order).alias("__row"))
-    return single.unionByName(one.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))
+    return single.unionByName(one.select(*[F.col(f"__row.{c}").alias(c) for c in columns])).toDF(*docs.columns)

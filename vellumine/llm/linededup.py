@@ -1,13 +1,16 @@
 """Removal of repeated runs of lines, by chunks whose ends the content itself defines.
 
-A line's hash is the top of its MD5; a rolling hash runs over two lines at a time; a chunk ends where
-the rolling hash is even and the one before was odd. So ends depend on three lines only, a passage that
-moves keeps its inner ends, and each chunk but a document's last has two lines or more. Chunks of two
-lines or more that are not blank and occur more than once, byte for byte, anywhere, stay only where
-they occur first: in the least document id, then text hash, then place.
-
-Chunks meet by a 64-bit hash and then by their bytes; hash values that hold much of the table are joined
-by broadcast, of which there can be a few hundred at most. All of it is DataFrame expressions.
+A rolling hash runs over the hashes of a text's lines, two lines at a time, blank ones left out. A chunk
+ends between two lines wherever their rolling hash occurs once in all texts, for such a pair is in no
+repeated passage; so an end depends on two lines only, and a passage that moves keeps its inner ends,
+however short it is. Within a chunk every pair of neighbouring lines is compared, byte for byte and with
+the blank lines between, with all others of its hash. A pair that stands earlier as well, in a lesser
+document id, then text hash, then place, is removed with the blank lines between. What is removed thus always
+stays where it came first, line by line; single lines are never removed on their own.
+
+Pairs meet by a 64-bit hash and then by their bytes; hash values that hold much of the table are joined
+by broadcast, of which there can be a few hundred at most. Only pairs of a repeated hash have their text
+sent about. All of it is DataFrame expressions.
 
 Null texts stay null, empty ones empty; a text of which all is removed becomes empty. Null ids order
 last. Rows that repeat id and text count as one document at one place: each keeps what the first keeps.
@@ -21,9 +24,6 @@ from pyspark.sql import functions as F
 
 from vellumine.llm.store import cut, lookup_join
 
-#: Hex digits of a line's MD5 that count, the rolling multiplier and modulus.
-HEX_DIGITS, FACTOR, MODULUS = 7, 31, 65521
-LEAST_LINES = 2
 LAST_ID = (1 << 63) - 1
 
 
@@ -32,61 +32,72 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def chunks(text: Column) -> Column:
-    """The chunks of a text as an array of (n lines, t text), in order; null for null."""
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def _written(lines: Column) -> Column:
+    """Places of the lines that are not blank."""
+    return F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
+
+
+def rolling(text: Column) -> Column:
+    """The rolling hash of each pair of neighbouring lines that are not blank: by turns to the left, as texts pass."""
+    turned = lambda h: F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63))
+    hashes = F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x))
+    return let(hashes, lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: turned(x).bitwiseXOR(F.get(h, i + 1))))
 
-    def hashes(lines: Column) -> Column:
-        return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, HEX_DIGITS), 16, 10).cast("long"))
 
-    def even(h: Column) -> Column:
-        return F.transform(h, lambda x, i: (i > 0) & (((F.get(h, i - 1) * FACTOR + x) % MODULUS) % 2 == 0))
+def pairs(text: Column, places: Column) -> Column:
+    """(i, t) of the pairs of lines at ``places``: from one line that is not blank to the next."""
 
-    def ends(e: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(e) - 1)
-        return F.filter(places, lambda i: (i == F.size(e) - 1) | (F.get(e, i) & ~F.coalesce(F.get(e, i - 1), F.lit(False))))
+    def cut_out(lines: Column, at: Column) -> Column:
+        span = lambda i: F.slice(lines, F.get(at, i) + 1, F.get(at, i + 1) - F.get(at, i) + 1)
+        return F.transform(places, lambda i: F.struct(i.alias("i"), F.array_join(span(i), "\n").alias("t")))
 
-    def cut_at(lines: Column, at: Column) -> Column:
-        def chunk(end: Column, k: Column) -> Column:
-            start = F.coalesce(F.get(at, k - 1) + 1, F.lit(0))
-            n = end - start + 1
-            return F.struct(n.alias("n"), F.array_join(F.slice(lines, start + 1, n), "\n").alias("t"))
+    return let(_lines(text), lambda lines: let(_written(lines), lambda at: cut_out(lines, at)))
 
-        return F.transform(at, chunk)
 
-    return F.when(text.isNotNull(), let(F.split(text, "\n", -1), lambda lines: let(hashes(lines), lambda h: let(even(h), lambda e: let(ends(e), lambda at: cut_at(lines, at))))))
+def without(text: Column, gone: Column) -> Column:
+    """(text, n): the text without the pairs at ``gone`` (in rising order), and how many lines went."""
+    # Whether a pair goes, by place: what stands between two that go is false.
+    flags = F.flatten(F.transform(gone, lambda g, k: F.concat(F.array_repeat(F.lit(False), g - F.coalesce(F.get(gone, k - 1), F.lit(-1)) - 1), F.array(F.lit(True)))))
 
+    def left(lines: Column, at: Column, flag: Column) -> Column:
+        goes = lambda i: F.coalesce(F.get(flag, i), F.lit(False))
+        until = lambda i: F.coalesce(F.get(at, i + 1), F.size(lines))
+        none = F.slice(lines, 1, 0)
+        line = lambda p, i: F.when(goes(i) | goes(i - 1), none).otherwise(F.slice(lines, p + 1, 1))
+        blank = lambda p, i: F.when(goes(i), none).otherwise(F.slice(lines, p + 2, until(i) - p - 1))
+        head = F.slice(lines, 1, F.get(at, 0))
+        kept = F.concat(head, F.flatten(F.transform(at, lambda p, i: F.concat(line(p, i), blank(p, i)))))
+        return let(kept, lambda rest: F.struct(F.array_join(rest, "\n").alias("text"), (F.size(lines) - F.size(rest)).cast("long").alias("n")))
 
-def _keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.withColumns({
-        "__k": F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null")),
-        "__th": F.xxhash64(text_col),
-        "__ord": F.coalesce(F.expr(f"try_cast(`{id_col}` AS bigint)"), F.lit(LAST_ID)),
-    })
+    return let(flags, lambda flag: let(_lines(text), lambda lines: let(_written(lines), lambda at: left(lines, at, flag))))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
-    """``docs`` with repeated chunks taken out of the text; ``removed_col`` adds how many went."""
-    keyed = _keys(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col)
-    # The outer form: no filter on the chunks' count is derived, which would compute them twice.
-    chunked = keyed.select("__k", "__th", "__ord", F.posexplode_outer(chunks(F.col(text_col))).alias("__pos", "__c"))
-    several = chunked.where((F.col("__c.n") >= LEAST_LINES) & (F.trim(F.translate("__c.t", "\n", " ")) != ""))
-    pieces = several.select("__k", "__th", "__ord", "__pos", F.xxhash64("__c.t").alias("__hash"), F.col("__c.t").alias("__t"))
-    repeated = cut(pieces.groupBy("__hash").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"))
-    total = repeated.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
-    found = lookup_join(pieces, repeated, ["__hash"], "__n", total, F.xxhash64("__k", "__pos"), how="inner")
-    firsts = found.groupBy("__hash", "__t").agg(F.min(F.struct("__ord", "__k", "__th", "__pos")).alias("__first"))
-    kept = firsts.select("__first.__k", "__first.__th", "__first.__pos", F.lit(True).alias("__stays"))
-    marks = found.select("__k", "__th", "__pos", F.lit(False).alias("__stays")).unionByName(kept)
-    verdict = marks.groupBy("__k", "__th").agg(
-        F.collect_set(F.when(~F.col("__stays"), F.col("__pos"))).alias("__seen"),
-        F.collect_set(F.when(F.col("__stays"), F.col("__pos"))).alias("__kept"),
-    )
-    gone = verdict.select("__k", "__th", F.array_except("__seen", "__kept").alias("__gone")).where(F.size("__gone") > 0)
-    joined = _keys(docs, id_col, text_col).join(gone, ["__k", "__th"], "left")
-    found_again = chunks(F.when(F.col("__gone").isNotNull(), F.col(text_col)))
-    left = F.array_join(F.transform(F.filter(found_again, lambda c, i: ~F.array_contains("__gone", i)), lambda c: c["t"]), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)
-    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    """``docs`` with repeated pairs of lines taken out of the text; ``removed_col`` adds how many lines went."""
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*columns)
+    id_, text = (columns[docs.columns.index(c)] for c in (id_col, text_col))
+    key = F.coalesce(F.concat(F.lit("="), F.col(id_).cast("string")), F.lit("null"))
+    # The same columns are wanted of the texts below as in the end, so that one shuffle of theirs serves both.
+    rows = rows.withColumns({"k": key, "th": F.xxhash64(text)})
+    order = F.coalesce(F.expr(f"try_cast({id_} AS bigint)"), F.lit(LAST_ID))
+    hashed = rows.select("k", "th", F.posexplode(rolling(F.col(text))).alias("i", "hash"))
+    repeated = cut(hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = lookup_join(hashed, repeated.select("hash", "n"), ["hash"], "n", total, F.xxhash64("k", "i"), how="inner")
+    inside = cut(found.groupBy("k", "th").agg(F.array_sort(F.collect_set("i")).alias("places")))
+    texts = rows.join(inside, ["k", "th"]).select("k", "th", order.alias("ord"), F.explode(pairs(F.col(text), F.col("places"))).alias("p"))
+    firsts = texts.groupBy("p.t").agg(F.min(F.struct("ord", "k", "th", "p.i")).alias("first")).select("first.k", "first.th", "first.i")
+    stays = firsts.groupBy("k", "th").agg(F.collect_set("i").alias("stays"))
+    gone = inside.join(stays, ["k", "th"], "left").select("k", "th", F.array_sort(F.array_except("places", F.coalesce("stays", F.array().cast("array<int>")))).alias("gone")).where(F.size("gone") > 0)
+    joined = rows.join(gone, ["k", "th"], "left")
+    result = joined.withColumn("left", F.when(F.col("gone").isNotNull(), without(F.col(text), F.col("gone"))))
+    taken = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.col("left.text"))
+    out = [(taken if c == text else F.col(c)).alias(name) for c, name in zip(columns, docs.columns, strict=True)]
     if removed_col:
-        columns.append(F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(removed_col))
-    return joined.select(*columns)
+        out.append(F.coalesce("left.n", F.lit(0).cast("long")).alias(removed_col))
+    return result.select(*out)

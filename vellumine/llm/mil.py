@@ -1,18 +1,21 @@
 """Quality scores by attention over passages, learnt from document labels alone.
 
 A text is cut into passages of ``PASSAGE_WORDS`` words. A passage is described by how often each pair of
-character kinds follows one another, by hashed words, and by a few ratios; a dense layer encodes it,
-gated attention (tanh and sigmoid branches) weighs the passages of a document, and the weighted
-representation gives the score. All passages of a text count, however long it is.
+character kinds follows one another, by hashed words, and by a few ratios, one of them over the whole
+text; a dense layer encodes it, gated attention (tanh and sigmoid branches) weighs the passages of a
+document, and the weighted representation gives the score. All passages of a text count in fitting and
+in scoring, however long it is; long texts are described part by part, with the same result.
 
-The model is fitted on at most ``train_docs`` labelled documents, those of the least hashes of their id,
-and at most ``train_passages`` evenly spaced passages of each (parameters): what reaches the driver is
-bounded by their product. Only rows whose crc32 of the id's text is not 1 modulo 3 are used for fitting;
-label, language, source and id never enter a score.
+The model is fitted on labelled documents in the order of the hashes of their ids: at most
+``train_docs`` of them, with at most ``train_passages`` passages in all. A document is taken with all its
+passages or, where these no longer fit, passed over. Both are parameters and bound what reaches the
+driver. Only rows whose crc32 of the id's text is not 1 modulo 3 are used for fitting; label, language,
+source and id never enter a score.
 
 Nulls and empty texts are one passage without words, and have a score too. Without labels of both kinds
-the score is the share of label 1, or one half. Labels of a repeated id: the greatest. Repeated rows give
-equal rows; extra columns pass through only where named; empty tables give empty results.
+the score is the share of label 1, or one half. Labels of a repeated id: the greatest; a labelled id that
+several rows repeat is learnt from its text of the least hash. Repeated rows give equal rows; extra columns pass
+through only where named; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,17 +26,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vellumine.llm.store import Shared, small_batches
+from vellumine.llm.store import Shared, cut, slices
 
 PASSAGE_WORDS = 64
 WORD_BUCKETS = 64
 KINDS = 16
 STATS = 6
 WIDTH = KINDS * KINDS + WORD_BUCKETS + STATS
+#: Place of the one ratio that is taken over the whole text.
+DISTINCT = WIDTH - 2
+#: Long texts are described in parts of about this.
 BLOCK_BYTES = 1 << 20
 HIDDEN, GATE = 32, 16
-TRAIN_DOCS, TRAIN_PASSAGES, EPOCHS = 4000, 32, 25
+TRAIN_DOCS, TRAIN_PASSAGES, EPOCHS = 4000, 60_000, 25
 
 
 def _kinds() -> np.ndarray:
@@ -54,25 +61,20 @@ _KIND = _kinds()
 _POWERS = np.cumprod(np.full(64, 1099511628211, np.uint64), dtype=np.uint64)
 
 
-def _block(data: np.ndarray) -> np.ndarray:
-    kind = _KIND[data]
-    solid = kind > 1
-    starts = np.flatnonzero(solid & ~np.concatenate(([False], solid[:-1])))
-    words = len(starts)
-    if not words:
-        out = np.zeros((1, WIDTH), np.float32)
-        out[0, -1] = 1.0
-        return out
-    passages = -(-words // PASSAGE_WORDS)
-    first = starts[::PASSAGE_WORDS].copy()
-    first[0] = 0
-    lengths = np.diff(np.append(first, len(data)))
+def _describe(data: np.ndarray, kind: np.ndarray, starts: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the passages between ``borders``, but for the text's own ratio, and the hashes of their words."""
+    low, high = int(borders[0]), int(borders[-1])
+    before = kind[low - 1 : high] if low else np.concatenate((kind[:1], kind[:high]))
+    data, kind, starts = data[low:high], kind[low:high], starts - low
+    lengths = np.diff(borders)
+    passages, words = len(lengths), len(starts)
     passage = np.repeat(np.arange(passages), lengths)
-    pair = kind[:-1].astype(np.int64) * KINDS + kind[1:]
-    pairs = np.bincount(passage[1:] * (KINDS * KINDS) + pair, minlength=passages * KINDS * KINDS).reshape(passages, -1)
+    pair = before[:-1].astype(np.int64) * KINDS + before[1:]
+    inner = slice(0 if low else 1, None)
+    pairs = np.bincount(passage[inner] * (KINDS * KINDS) + pair[inner], minlength=passages * KINDS * KINDS).reshape(passages, -1)
     # A word's hash: its bytes by powers of a prime; white space adds nothing.
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))) if starts[0] == 0 else np.arange(len(data)) - np.concatenate((np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(data))))))
-    value = np.where(solid, data.astype(np.uint64) * _POWERS[place & 63], np.uint64(0))
+    place = np.arange(len(data)) - np.repeat(np.append(0, starts), np.diff(np.concatenate(([0], starts, [len(data)]))))
+    value = np.where(kind > 1, data.astype(np.uint64) * _POWERS[place & 63], np.uint64(0))
     hashes = np.add.reduceat(value, starts)
     hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     of = np.arange(words) // PASSAGE_WORDS
@@ -81,24 +83,33 @@ def _block(data: np.ndarray) -> np.ndarray:
     count = np.bincount(of, minlength=passages).astype(np.float64)
     distinct = np.bincount((np.unique((hashes >> np.uint64(24)) | (of.astype(np.uint64) << np.uint64(40))) >> np.uint64(40)).astype(np.int64), minlength=passages)
     share = lambda k: np.bincount(passage, weights=np.isin(kind, k), minlength=passages) / lengths
-    stats = np.stack([lengths / count / 10, distinct / count, share((3,)), share((8, 12)), np.full(passages, len(np.unique(hashes)) / words), np.zeros(passages)], axis=1)
-    return np.concatenate([np.sqrt(pairs / lengths[:, None]), np.sqrt(bags / count[:, None]), stats], axis=1).astype(np.float32)
+    stats = np.stack([lengths / count / 10, distinct / count, share((3,)), share((8, 12)), np.zeros(passages), np.zeros(passages)], axis=1)
+    return np.concatenate([np.sqrt(pairs / lengths[:, None]), np.sqrt(bags / count[:, None]), stats], axis=1).astype(np.float32), hashes
 
 
 def features(text: str | None) -> np.ndarray:
-    """A row per passage; texts beyond a megabyte in blocks that end at white space, where a passage ends too."""
+    """A row per passage; long texts part by part, each part whole passages."""
     data = np.frombuffer((text or "").encode("utf-8"), np.uint8)
-    if len(data) <= BLOCK_BYTES:
-        return _block(data)
-    out, at = [], 0
-    while at < len(data):
-        end = min(at + BLOCK_BYTES, len(data))
-        if end < len(data):
-            spaces = np.flatnonzero(_KIND[data[at:end]] < 2)
-            end = at + int(spaces[-1]) + 1 if len(spaces) else end
-        out.append(_block(data[at:end]))
-        at = end
-    return np.concatenate(out)
+    kind = _KIND[data]
+    solid = kind > 1
+    starts = np.flatnonzero(solid & ~np.concatenate(([False], solid[:-1])))
+    words = len(starts)
+    if not words:
+        out = np.zeros((1, WIDTH), np.float32)
+        out[0, -1] = 1.0
+        return out
+    borders = np.append(starts[::PASSAGE_WORDS], len(data))
+    borders[0] = 0
+    parts, seen, at, passages = [], np.empty(0, np.uint64), 0, len(borders) - 1
+    while at < passages:
+        to = max(at + 1, int(np.searchsorted(borders, borders[at] + BLOCK_BYTES, side="right")) - 1)
+        part, hashes = _describe(data, kind, starts[at * PASSAGE_WORDS : to * PASSAGE_WORDS], borders[at : to + 1])
+        parts.append(part)
+        seen = np.unique(np.concatenate((seen, hashes)))
+        at = to
+    out = np.concatenate(parts) if len(parts) > 1 else parts[0]
+    out[:, DISTINCT] = len(seen) / words
+    return out
 
 
 class Model:
@@ -124,6 +135,11 @@ class Model:
         logit = (z @ p["c"])[:, 0] + p["d"][0]
         return {"x": x, "h": h, "t": t, "g": g, "a": a, "z": z, "of": of, "score": 1 / (1 + np.exp(-np.clip(logit, -30, 30)))}
 
+    def scores(self, bags: list[np.ndarray]) -> np.ndarray:
+        if not bags:
+            return np.empty(0)
+        return self.forward(np.concatenate(bags), np.cumsum([0, *map(len, bags)])[:-1])["score"].astype(np.float64)
+
     def gradients(self, r: dict, y: np.ndarray, starts: np.ndarray) -> dict:
         p, of = self.p, r["of"]
         dl = ((r["score"] - y) / len(y)).astype(np.float32)
@@ -170,58 +186,59 @@ def held_out(id_: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, train_passages: int = TRAIN_PASSAGES) -> Model | float:
     """A model, or the share of label 1 where there are not labels of both kinds."""
-    allowed = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where(F.col("__id").isNotNull() & F.col("__y").isNotNull() & ~held_out(F.col("__id")))
-    chosen = allowed.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.md5(F.col("__id").cast("string")), "__id").limit(train_docs)
-    # At most train_docs rows.
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(chosen), "__id").select("__id", "__y", "__t")
+    allowed = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
+    order = F.md5(F.col("id").cast("string"))
+    chosen = allowed.groupBy("id").agg(F.max("y").alias("y")).withColumn("rank", order).orderBy("rank", "id").limit(train_docs)
+    # At most train_docs rows go out to all, and one row an id comes back.
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id")
+    rows = found.groupBy("id", "y", "rank").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t")).select("rank", "y", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = []
-            for text in batch.column(2):
-                bag = features(text.as_py())
-                if len(bag) > train_passages:
-                    bag = bag[np.linspace(0, len(bag) - 1, train_passages).astype(int)]
-                bags.append(bag.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(bags, pa.binary())], ["id", "y", "bag"])
-
-    found = sorted(rows.mapInArrow(run, "id string, y int, bag binary").collect(), key=lambda r: (r["id"], r["bag"]))
-    y = np.array([r["y"] for r in found])
+            for part in slices(batch):
+                bags = [features(text.as_py()) for text in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(len, bags), pa.int64()), pa.array([bag.tobytes() for bag in bags], pa.binary())], ["rank", "y", "n", "bag"])
+
+    bags = cut(rows.mapInArrow(run, "rank string, y int, n long, bag binary"))
+    taken, room = [], train_passages
+    for r in sorted(bags.select("rank", "n").collect()):
+        if r["n"] <= room:
+            taken.append((r["rank"],))
+            room -= r["n"]
+    if not taken:
+        return 0.5
+    within = bags.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "rank string")), "rank")
+    held = sorted(within.select("rank", "y", "bag").collect(), key=lambda r: r["rank"])
+    y = np.array([r["y"] for r in held])
     if len(set(y.tolist())) < 2:
-        return float(y.mean()) if len(y) else 0.5
-    return fit([np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH) for r in found], y)
+        return float(y.mean())
+    return fit([np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH) for r in held], y)
 
 
 def score(docs: DataFrame, model: Model | float, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``keep`` columns and the score of each whole text."""
     if isinstance(model, float):
         return docs.select(*keep, F.lit(model).alias(score_col))
-    small_batches(docs.sparkSession)
     shared = Shared(docs.sparkSession, model)
+    names = [f"c{i}" for i in range(len(keep) + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            scores, bags, held = [], [], 0
-
-            def settle():
-                nonlocal bags, held
-                if bags:
-                    scores.append(net.forward(np.concatenate(bags), np.cumsum([0, *map(len, bags)])[:-1])["score"])
-                bags, held = [], 0
-
-            for text in batch.column(batch.num_columns - 1):
-                bags.append(features(text.as_py()))
-                held += len(bags[-1])
-                if held > 4096:
-                    settle()
-            settle()
-            flat = np.concatenate(scores).astype(np.float64) if scores else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(flat)], [*keep, score_col])
-
-    slim = docs.select(*keep, F.col(text_col).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    return slim.mapInArrow(run, f"{fields}, `{score_col}` double")
+            for part in slices(batch):
+                scores, bags, held = [], [], 0
+                for text in part.column(len(keep)):
+                    bags.append(features(text.as_py()))
+                    held += len(bags[-1])
+                    if held > 4096:
+                        scores.append(net.scores(bags))
+                        bags, held = [], 0
+                scores.append(net.scores(bags))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.concatenate(scores))], names)
+
+    slim = docs.select(*keep, F.col(text_col)).toDF(*names)
+    fields = T.StructType([*slim.schema.fields[:-1], T.StructField(names[-1], T.DoubleType())])
+    return slim.mapInArrow(run, fields).toDF(*keep, score_col)
 
 
 def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -232,8 +249,7 @@ def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without those of a score below one half."""
-    renamed = [f"__c{i}" for i in range(len(docs.columns))]
-    inner = docs.toDF(*renamed)
-    text = renamed[docs.columns.index(text_col)]
-    scored = score(inner, train(docs, labels, text_col=text_col, **options), keep=tuple(renamed), text_col=text, score_col="__score")
-    return scored.where("__score >= 0.5").drop("__score").toDF(*docs.columns)
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    inner = docs.toDF(*columns)
+    scored = score(inner, train(docs, labels, text_col=text_col, **options), keep=tuple(columns), text_col=columns[docs.columns.index(text_col)], score_col="score")
+    return scored.where("score >= 0.5").drop("score").toDF(*docs.columns)

@@ -247,5 +247,8 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     """The documents themselves, each as often as the mix takes it."""
     members = F.array(F.col(source_col).cast("string"))
     decided = plan(docs, id_col, text_col, members, seed=seed)
-    taken = decided.apply(docs, id_col, members, size=word_count(F.col(text_col)))
-    return taken.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    # The rows as one column, so that no name of theirs meets one of the mix.
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(p) for c, p in zip(docs.columns, places, strict=True)]).alias("row"), F.col(id_col).alias("id"), members.alias("members"), word_count(F.col(text_col)).alias("size"))
+    taken = decided.apply(packed, "id", F.col("members"), size=F.col("size"))
+    return taken.where("__copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"row.{p}").alias(c) for c, p in zip(docs.columns, places, strict=True)])

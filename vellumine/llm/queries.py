@@ -71,14 +71,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 LINE_CHUNKS_SQL = """
     WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
     l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM s),
-    h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM l),
-    e AS (SELECT *, i > 0 AND ((lag(h) OVER w * 31 + h) % 65521) % 2 = 0 AS even FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-    b AS (SELECT *, even AND NOT coalesce(lag(even) OVER w, false) AS ends FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-    c AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
-    g AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS n FROM c GROUP BY ALL),
-    m AS (SELECT *, n >= 2 AND trim(replace(t, chr(10), ' ')) <> '' AS several FROM g),
-    f AS (SELECT *, several AND row_number() OVER (PARTITION BY several, t ORDER BY doc_id, k) > 1 AS gone FROM m),
-    r AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY k) FILTER (WHERE NOT gone) AS text, count(*) FILTER (WHERE gone) AS n_removed FROM f GROUP BY doc_id)
+    w AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM l WHERE trim(line, ' ') <> ''),
+    p AS (SELECT doc_id, i, j, array_to_string(ls[i + 1 : j + 1], chr(10)) AS t FROM w JOIN s USING (doc_id) WHERE j IS NOT NULL),
+    f AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) > 1 AS gone FROM p),
+    g AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i, true AS goes FROM f WHERE gone),
+    r AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE goes IS NULL) AS text, count(goes) AS n_removed FROM l LEFT JOIN g USING (doc_id, i) GROUP BY doc_id)
     SELECT {columns} FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id"""
 
 ORACLE_SQL: dict[str, str] = {

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines of the cluster see; a temporary one only where none is configured."""
+    """The folder that all machines of the cluster see; where none is named, a temporary one on a single machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vellumine-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -37,16 +41,20 @@ class Shared:
         return self.broadcast.value
 
 
-#: What a Python worker gets at once, unless the session asks for less: rows, bytes.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: What a Python worker handles at once of a batch: rows, bytes.
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of tasks that hold whole texts, where the session has Spark's large defaults."""
-    for key, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(spark.conf.get(key).rstrip("b"))
-        if now <= 0 or now > bound:
-            spark.conf.set(key, str(bound))
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """An Arrow batch in parts of at most so many rows, halved while they are too large in bytes and have several."""
+    waiting = [batch.slice(start, rows) for start in range(0, batch.num_rows, rows)][::-1]
+    while waiting:
+        part = waiting.pop()
+        if part.num_rows > 1 and part.nbytes > size:
+            half = part.num_rows // 2
+            waiting += [part.slice(half), part.slice(0, half)]
+        else:
+            yield part
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumine.llm.store import small_batches
+from vellumine.llm.store import slices
 
 #: Fixed values of the format: tags, bytes of each field type, compressions.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER = 256, 257, 258, 259, 262, 266
@@ -302,20 +302,6 @@ PAGE_FIELDS = [
     T.StructField("pixels", T.BinaryType()), T.StructField("error", T.StringType()),
 ]
 _ARROW = [pa.int32()] * 7 + [pa.bool_(), pa.int32(), pa.binary(), pa.string()]
-SLICE_BYTES = 16 << 20
-
-
-def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about SLICE_BYTES in ``column``, one row at least."""
-    sizes = [0 if not v.is_valid else len(v.as_buffer()) for v in batch.column(column)]
-    start = held = 0
-    for i, n in enumerate(sizes):
-        if held and held + n > SLICE_BYTES:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < len(sizes):
-        yield batch.slice(start)
 
 
 def read_pages(df: DataFrame, blob_col: str, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -323,7 +309,7 @@ def read_pages(df: DataFrame, blob_col: str, *, keep: tuple[str, ...] = ("doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, "__blob"):
+            for part in slices(batch):
                 origin, rows = [], []
                 for i, blob in enumerate(part.column("__blob")):
                     for found in pages(blob.as_py()):
@@ -333,7 +319,6 @@ def read_pages(df: DataFrame, blob_col: str, *, keep: tuple[str, ...] = ("doc_id
                 columns = [pa.array([r.get(f.name) for r in rows], kind) for f, kind in zip(PAGE_FIELDS, _ARROW, strict=True)]
                 yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*keep, *(f.name for f in PAGE_FIELDS)])
 
-    small_batches(df.sparkSession)
     slim = df.select(*keep, F.col(blob_col).alias("__blob"))
     return slim.mapInArrow(run, T.StructType([*slim.select(*keep).schema.fields, *PAGE_FIELDS]))
 
@@ -385,7 +370,7 @@ def write_files(df: DataFrame, payload_col: str, *, width: int, keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, "__payload"):
+            for part in slices(batch):
                 blobs = []
                 for payload in part.column("__payload"):
                     payload = payload.as_py() or b""
@@ -393,7 +378,6 @@ def write_files(df: DataFrame, payload_col: str, *, width: int, keep: tuple[str,
                     blobs.append(write_page(payload, width, how, predictor, tile))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(blobs, pa.binary())], [*keep, blob_col])
 
-    small_batches(df.sparkSession)
     slim = df.select(*keep, F.col(payload_col).alias("__payload"))
     return slim.mapInArrow(run, T.StructType([*slim.select(*keep).schema.fields, T.StructField(blob_col, T.BinaryType())]))
 

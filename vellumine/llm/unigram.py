@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.store import Shared, small_batches
+from vellumine.llm.store import Shared, slices
 
 MEMO_WORDS = 200_000
 UNKNOWN_PENALTY = 10.0
@@ -118,7 +118,6 @@ def counts(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", t
 
     Spaces become marks, one mark goes in front (``prefix``); nothing else is normalised.
     """
-    small_batches(docs.sparkSession)
     shared = Shared(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,13 +125,13 @@ def counts(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", t
             _made.clear()
             _made[shared.id] = Counter(shared.value)
         counter = _made[shared.id]
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch)):
             rows = []
-            for text in batch.column(1):
+            for text in part.column(1):
                 text = text.as_py()
                 rows.append(counter.count((MARK if prefix else "") + text.replace(" ", MARK)) if text else (0, 0, 0.0))
-            tokens, unknown, score = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(unknown, pa.int64()), pa.array(score, pa.float64())], [id_col, "n_tokens", "n_unknown", "best_score"])
+            tokens, unknown, score = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.int64()), pa.array(unknown, pa.int64()), pa.array(score, pa.float64())], [id_col, "n_tokens", "n_unknown", "best_score"])
 
     slim = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
     kind = slim.schema[id_col].dataType.simpleString()

@@ -10,20 +10,25 @@ looks for the gzip magic in its range, takes a candidate for a record only if it
 to a WARC version line, and reads every record that starts inside its range to its end, past the
 range's if need be. No range depends on another, so lost tasks are simply run again.
 
+A member that starts like a record but is cut off or does not inflate gives a row with its place and an
+``error``, and the search goes on behind its start; ``archive_and_read`` raises that error.
+
 Nulls as payload count as empty. A null page id orders after all others. Rows that repeat a page id
-and payload are all ``response`` where their id is the smallest. Empty tables give empty archives.
+and payload are all ``response`` where their id is the smallest. Page ids of any type that casts to text
+and back come back as they were. Empty tables give empty archives.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.store import cut, fresh_path, lookup_join, small_batches
+from vellumine.llm.store import cut, fresh_path, lookup_join, slices
 
 #: Fixed values of the formats.
 MAGIC = b"\x1f\x8b\x08"
@@ -50,6 +55,10 @@ def with_origins(pages: DataFrame, id_col: str, url_col: str, html_col: str, lea
     return traced.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
+def urn(page_id) -> str:
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
 def record(page_id, url: str, payload: bytes, digest: str, refers_to, date: str) -> bytes:
     """One uncompressed WARC record: a response with its payload, or a revisit that names the response."""
     revisit = refers_to is not None
@@ -57,7 +66,7 @@ def record(page_id, url: str, payload: bytes, digest: str, refers_to, date: str)
     block = http if revisit else http + payload
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
+        ("WARC-Record-ID", urn(page_id)),
         ("WARC-Target-URI", " ".join(url.split())),
         ("WARC-Date", date),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
@@ -65,7 +74,7 @@ def record(page_id, url: str, payload: bytes, digest: str, refers_to, date: str)
         ("Content-Length", str(len(block))),
     ]
     if revisit:
-        fields[4:4] = [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        fields[4:4] = [("WARC-Refers-To", urn(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     head = "".join(f"{name}: {value}\r\n" for name, value in fields)
     return b"WARC/1.1\r\n" + head.encode("utf-8") + b"\r\n" + block + b"\r\n\r\n"
 
@@ -85,13 +94,11 @@ def write(traced: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00Z") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                rows = batch.slice(start, 500)
+            for rows in slices(batch):
                 columns = [rows.column(n) for n in ("page_id", "url", "payload", "digest", "refers_to")]
                 members = [member(record(*(v.as_py() for v in row), date))[:-1] for row in zip(*columns, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
 
-    small_batches(traced.sparkSession)
     stored = traced.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
     stored.write.option("lineSep", "\x00").option("compression", "none").text(path)
 
@@ -143,8 +150,8 @@ def starts_record(view: Window_, at: int) -> bool:
             return False
 
 
-def records(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, uncompressed record) of each record whose member starts in [start, end)."""
+def records(file, start: int, end: int) -> Iterator[tuple[int, bytes | str]]:
+    """(offset, uncompressed record) of each record whose member starts in [start, end); for a damaged one, what is wrong."""
     view = Window_(file, start)
     at = start
     while at < end:
@@ -169,7 +176,8 @@ def records(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
                     raise EOFError("the last record is cut off")
                 out.append(inflate.decompress(view.data[used:]))
                 used = len(view.data) - len(inflate.unused_data)
-        except (zlib.error, EOFError):
+        except (zlib.error, EOFError) as damage:
+            yield at, f"damaged record: {damage}"
             at += 1
             continue
         yield at, b"".join(out)
@@ -193,7 +201,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-SCHEMA = "file string, offset long, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
+SCHEMA = "file string, offset long, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, error string"
 
 
 def read(spark: SparkSession, path: str, *, range_bytes: int = RANGE_BYTES, opener: Callable = open_file) -> DataFrame:
@@ -203,8 +211,8 @@ def read(spark: SparkSession, path: str, *, range_bytes: int = RANGE_BYTES, open
     ranges = files.select("path", F.explode(starts).alias("start")).withColumn("end", F.col("start") + range_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["file", "offset", "record_type", "record_id", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload"]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        names = ["file", "offset", "record_type", "record_id", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload", "error"]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
 
         def packed(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -214,9 +222,12 @@ def read(spark: SparkSession, path: str, *, range_bytes: int = RANGE_BYTES, open
                 rows, held = [], 0
                 with opener(name) as file:
                     for offset, data in records(file, start, end):
+                        if isinstance(data, str):
+                            rows.append((name, offset, *[None] * 7, data))
+                            continue
                         fields, payload = parse(data)
                         revisit = fields.get("warc-type") == "revisit"
-                        rows.append((name, offset, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-refers-to"), fields.get("warc-payload-digest"), int(fields.get("http-length", len(payload))) if revisit else len(payload), None if revisit else payload))
+                        rows.append((name, offset, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-refers-to"), fields.get("warc-payload-digest"), int(fields.get("http-length", len(payload))) if revisit else len(payload), None if revisit else payload, None))
                         held += len(payload)
                         if held > BLOCK * 8 or len(rows) == 5000:
                             yield packed(rows)
@@ -227,8 +238,9 @@ def read(spark: SparkSession, path: str, *, range_bytes: int = RANGE_BYTES, open
     return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(run, SCHEMA)
 
 
-def page_number(uri: Column) -> Column:
-    return F.regexp_extract(uri, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+def page_key(uri: Column, kind) -> Column:
+    """The page id that ``urn`` wrote, as it was."""
+    return F.when(uri.startswith("<urn:page:"), F.url_decode(F.regexp_extract(uri, "^<urn:page:(.*)>$", 1)).try_cast(kind))
 
 
 def archive_and_read(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -238,5 +250,6 @@ def archive_and_read(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     write(with_origins(pages, id_col, url_col, html_col), path)
     found = read(spark, path)
     revisit = F.col("record_type") == "revisit"
-    digest = F.when(revisit, F.regexp_replace("payload_digest", "^sha256:", "")).otherwise(F.sha2("payload", 256))
-    return found.select(page_number(F.col("record_id")).alias(id_col), "payload_bytes", digest.alias("payload_digest"), "record_type", page_number(F.col("refers_to")).alias("refers_to"))
+    kind, broken = pages.schema[id_col].dataType, F.col("error").isNotNull()
+    digest = F.when(broken, F.raise_error(F.col("error"))).when(revisit, F.regexp_replace("payload_digest", "^sha256:", "")).otherwise(F.sha2("payload", 256))
+    return found.select(page_key(F.col("record_id"), kind).alias(id_col), "payload_bytes", digest.alias("payload_digest"), "record_type", page_key(F.col("refers_to"), kind).alias("refers_to"))
