@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumine.operators.scans import counted
+
 
 def arg_max(x: Column, key: Column, tie: Column | None = None) -> Column:
     return F.max_by(x, key if tie is None else F.struct(key, tie))
@@ -21,13 +23,53 @@ def arg_min_null(x: Column, key: Column) -> Column:
     return F.min(F.when(key.isNotNull(), F.struct(key.alias("k"), x.alias("x"))))["x"]
 
 
-def least_n(x: Column, n: int) -> Column:
-    """The ``n`` least values; for groups that fit a task."""
-    return F.slice(F.sort_array(F.collect_list(x)), 1, n)
+def first_in(x: Column, *order: Column) -> Column:
+    """``first(x ORDER BY ...)``: null counts."""
+    return F.min_by(F.struct(x.alias("x")), F.struct(*order))["x"]
+
+
+def last_in(x: Column, *order: Column) -> Column:
+    return F.max_by(F.struct(x.alias("x")), F.struct(*order))["x"]
+
+
+def arg_n(df: DataFrame, keys: list[str], x: Column, by: Column, n: int, name: str, greatest: bool = False, tie: Column | None = None) -> DataFrame:
+    """``arg_min(x, by, n)`` or ``arg_max``: the list of ``x`` at the ``n`` extremes; nulls in ``by`` take no part.
+
+    Ranks are limited to ``n`` before and after the shuffle, so no group gathers in one task.
+    """
+    order = by.desc() if greatest else by.asc()
+    w = Window.partitionBy(*keys).orderBy(order, *([] if tie is None else [tie]))
+    top = df.where(by.isNotNull()).select(*keys, x.alias("__x"), F.row_number().over(w).alias("__rn")).where(F.col("__rn") <= n)
+    return top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__rn", "__x"))), lambda s: s["__x"]).alias(name))
+
+
+def least_n(df: DataFrame, keys: list[str], value: str, n: int, name: str) -> DataFrame:
+    """``min(value, n)``: the ``n`` least known values in order."""
+    return arg_n(df, keys, F.col(value), F.col(value), n, name)
+
+
+def greatest_n(df: DataFrame, keys: list[str], value: str, n: int, name: str) -> DataFrame:
+    return arg_n(df, keys, F.col(value), F.col(value), n, name, greatest=True)
 
 
-def greatest_n(x: Column, n: int) -> Column:
-    return F.slice(F.sort_array(F.collect_list(x), asc=False), 1, n)
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[float, bool]]) -> DataFrame:
+    """Exact quantiles by name: (fraction, whether between two values the line counts).
+
+    Values are counted, then placed by a sort in parts; a group may hold all rows.
+    """
+    placed = counted(df, keys, value)
+    last = (F.col("total") - 1).cast("double")
+    at = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col(value)))
+    out = []
+    for name, (share, between) in wanted.items():
+        if between:
+            low = F.floor(last * share)
+            part = F.max(last * share - low)
+            a, b = at(low), at(F.ceil(last * share))
+            out.append(F.when(part == 0, a.cast("double")).otherwise(a + (b - a) * part).alias(name))
+        else:
+            out.append(at(F.greatest(F.ceil(F.col("total") * share) - 1, F.lit(0))).alias(name))
+    return placed.groupBy(*keys).agg(*out)
 
 
 def sem(x: Column) -> Column:
@@ -62,9 +104,27 @@ def bitstring_agg(x: Column, low: int, high: int) -> Column:
 
 
 def median_deviation(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Median of the distances from the median, in two grouped passes."""
-    middle = df.groupBy(*keys).agg(F.median(value).alias("__median"))
-    return df.join(middle, keys).groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("__median"))).alias(name))
+    """Median of the distances from the median, each by ``quantiles``."""
+    middle = quantiles(df, keys, value, {"__median": (0.5, True)})
+    far = df.join(middle, keys).select(*keys, F.abs(F.col(value) - F.col("__median")).alias("__far"))
+    return quantiles(far, keys, "__far", {name: (0.5, True)})
+
+
+def reservoir_quantile(df: DataFrame, keys: list[str], value: str, share: float, name: str, size: int = 8192, seed: int = 7, *unique: str) -> DataFrame:
+    """A quantile of at most ``size`` values of each group, those of the least seeded hashes of ``unique``."""
+    w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *unique, value))
+    some = df.where(F.col(value).isNotNull()).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= size)
+    return some.groupBy(*keys).agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY `{value}`)").alias(name))
+
+
+def exact_sum(x: Column) -> Column:
+    """``fsum``: doubles added up without loss, as decimals of ten places."""
+    return F.sum(x.cast("decimal(38,10)")).cast("double")
+
+
+def exact_avg(x: Column) -> Column:
+    """``favg``."""
+    return exact_sum(x) / F.nullif(F.count(x), F.lit(0))
 
 
 def entropy(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -86,27 +146,69 @@ def histogram(df: DataFrame, keys: list[str], value: str, name: str) -> DataFram
     return counts.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(value, "__n")))).alias(name))
 
 
+def _hull(points: np.ndarray) -> np.ndarray:
+    """Places of the convex hull's points, of rows (x, y) in rising order; of equal points the first."""
+    if len(points) < 3:
+        return np.arange(len(points))
+    chains = []
+    for turn in (1.0, -1.0):
+        chain: list[int] = []
+        for i, (x, y) in enumerate(points.tolist()):
+            while len(chain) > 1:
+                (ax, ay), (bx, by) = points[chain[-2]], points[chain[-1]]
+                if turn * ((bx - ax) * (y - ay) - (by - ay) * (x - ax)) >= 0:
+                    break
+                chain.pop()
+            if not chain or tuple(points[chain[-1]]) != (x, y):
+                chain.append(i)
+        chains += chain
+    return np.unique(chains)
+
+
 def lttb(df: DataFrame, keys: list[str], x: str, y: str, n: int) -> DataFrame:
-    """Largest-triangle-three-buckets: ``n`` points of each series that keep its shape."""
-
-    def pick(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.dropna(subset=[x, y]).sort_values([x, y])
-        if len(series) <= n or n < 3:
-            return series.head(n) if n < 3 else series
-        px, py = series[x].to_numpy(float), series[y].to_numpy(float)
-        edges = np.linspace(1, len(px) - 1, n - 1).astype(int)
+    """Largest-triangle-three-buckets: ``n`` points of each series that keep its shape.
+
+    Points are placed by a sort in parts and cut into buckets by place. Of a bucket only its convex hull
+    can hold the farthest point, so each part sends on hulls, and one small task a series walks through
+    those. Points with a null are left out; equal points come once, and of equals in area the first goes.
+    """
+    if n < 3:
+        w = Window.partitionBy(*keys).orderBy(x, y)
+        return df.select(*keys, x, y).dropna(subset=[x, y]).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
+    known = df.select(*keys, F.struct(F.col(x).alias("x"), F.col(y).alias("y")).alias("__p")).where(F.col("__p.x").isNotNull() & F.col("__p.y").isNotNull())
+    placed = counted(known, keys, "__p")
+    # Inner places 1 to total - 2 fall into n - 2 buckets; the ends stand for themselves.
+    width = (F.col("total") - 2) / F.lit(float(n - 2))
+    edge = lambda k: F.floor(k * width).cast("long") + 1
+    guess = F.least(F.floor((F.col("before") - 1) / width), F.lit(n - 3)).cast("long")
+    bucket = F.when(F.col("before") < edge(guess), guess - 1).when((F.col("before") >= edge(guess + 1)) & (guess < n - 3), guess + 1).otherwise(guess)
+    bucket = F.when(F.col("total") <= n, F.col("before")).when(F.col("before") == 0, -1).when(F.col("before") + F.col("n") >= F.col("total"), n - 2).otherwise(F.greatest(bucket, F.lit(0)))
+    rows = placed.select(*keys, bucket.alias("__b"), F.col("__p.x").cast("double").alias("__x"), F.col("__p.y").cast("double").alias("__y"), F.col("n").alias("__n"), F.col("__p.x").alias("__ox"), F.col("__p.y").alias("__oy"), (F.col("total") <= n).alias("__all"))
+    by = [*keys, "__b"]
+    means = rows.groupBy(*by).agg((F.sum(F.col("__x") * F.col("__n")) / F.sum("__n")).alias("__mx"), (F.sum(F.col("__y") * F.col("__n")) / F.sum("__n")).alias("__my"))
+    spread = rows.withColumn("__salt", F.pmod(F.xxhash64("__x", "__y"), F.lit(16)))
+
+    def hull(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["__x", "__y"])
+        return part if part["__all"].iloc[0] else part.iloc[_hull(part[["__x", "__y"]].to_numpy(float))]
+
+    hulls = spread.groupBy(*by, "__salt").applyInPandas(hull, spread.schema).drop("__salt")
+
+    def walk(series: pd.DataFrame) -> pd.DataFrame:
+        series = series.sort_values(["__b", "__x", "__y"])
+        if series["__all"].iloc[0]:
+            return series
+        px, py, mx, my = (series[c].to_numpy(float) for c in ("__x", "__y", "__mx", "__my"))
+        starts = np.flatnonzero(np.diff(series["__b"].to_numpy(), prepend=-2))
         kept = [0]
-        for k in range(n - 2):
-            low, high = edges[k], max(edges[k] + 1, edges[k + 1])
-            after = slice(high, edges[k + 2] if k + 2 < len(edges) else len(px))
-            cx, cy = px[after].mean(), py[after].mean()
-            a = kept[-1]
-            area = np.abs((px[a] - cx) * (py[low:high] - py[a]) - (px[a] - px[low:high]) * (cy - py[a]))
-            kept.append(low + int(area.argmax()))
-        return series.iloc[[*kept, len(px) - 1]]
-
-    slim = df.select(*keys, x, y)
-    return slim.groupBy(*keys).applyInPandas(pick, slim.schema)
+        for low, high in zip(starts[1:-1], starts[2:], strict=True):
+            ax, ay, cx, cy = px[kept[-1]], py[kept[-1]], mx[high], my[high]
+            area = np.abs((ax - cx) * (py[low:high] - ay) - (ax - px[low:high]) * (cy - ay))
+            kept.append(int(low) + int(area.argmax()))
+        return series.iloc[[*kept, int(starts[-1])]]
+
+    joined = hulls.join(means, by)
+    return joined.groupBy(*keys).applyInPandas(walk, joined.schema).select(*keys, F.col("__ox").alias(x), F.col("__oy").alias(y))
 
 
 def arg_max_null(x: Column, key: Column) -> Column:

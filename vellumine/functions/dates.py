@@ -176,3 +176,48 @@ def to_zone(t: Column, zone: str) -> Column:
 
 def make_timestamp_ms(ms: Column) -> Column:
     return from_micros(ms * 1000)
+
+
+#: Months or microseconds of the units that intervals are built from.
+UNIT_MONTHS = {"months": 1, "quarters": 3, "years": 12, "decades": 120, "centuries": 1200, "millennia": 12000}
+UNIT_DAYS = {"days": 1, "weeks": 7}
+UNIT_MICROS = {"microseconds": 1, "milliseconds": 1000, "seconds": 1_000_000, "minutes": 60_000_000, "hours": 3_600_000_000}
+
+
+def to_interval(unit: str, n: Column) -> Column:
+    """``to_years(n)`` and its kin as a struct of months, days and microseconds."""
+    part = lambda units: (n * units[unit] if unit in units else F.lit(0)).cast("long")
+    if unit not in UNIT_MONTHS | UNIT_DAYS | UNIT_MICROS:
+        raise ValueError(f"no unit {unit}")
+    return F.when(n.isNotNull(), F.struct(part(UNIT_MONTHS).alias("months"), part(UNIT_DAYS).alias("days"), part(UNIT_MICROS).alias("micros")))
+
+
+def normalized_interval(i: Column) -> Column:
+    """Microseconds beyond a day become days, days beyond thirty months."""
+    day = 86_400_000_000
+    cut_off = lambda x, size: (F.when(x < 0, -F.floor(-x / size)).otherwise(F.floor(x / size))).cast("long")
+    more_days = cut_off(i["micros"], day)
+    days = i["days"] + more_days
+    more_months = cut_off(days, 30)
+    return F.when(i.isNotNull(), F.struct((i["months"] + more_months).alias("months"), (days - more_months * 30).alias("days"), (i["micros"] - more_days * day).alias("micros")))
+
+
+def add_interval(t: Column, i: Column) -> Column:
+    """A timestamp without zone and an interval struct; the day is cut to the month's last."""
+    months = F.add_months(t.cast("date"), i["months"].cast("int"))
+    whole = F.date_add(months, i["days"].cast("int"))
+    return from_micros(micros(whole.cast("timestamp_ntz")) + micros(t) - micros(t.cast("date").cast("timestamp_ntz")) + i["micros"])
+
+
+def ago(now: Column, i: Column) -> Column:
+    """``ago(interval)`` seen from ``now``."""
+    return add_interval(now, F.struct((-i["months"]).alias("months"), (-i["days"]).alias("days"), (-i["micros"]).alias("micros")))
+
+
+def make_time(hour: Column, minute: Column, second: Column) -> Column:
+    return F.make_time(hour, minute, second.cast("decimal(16,6)"))
+
+
+def make_timestamptz(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, zone: str) -> Column:
+    """The instant at which the clocks of a zone show this."""
+    return F.make_timestamp_ltz(year, month, day, hour, minute, second.cast("decimal(16,6)"), F.lit(zone))

@@ -77,3 +77,60 @@ def strip_nulls(s: pd.Series) -> pd.Series:
         return [clean(x) for x in v] if isinstance(v, list) else v
 
     return s.map(lambda t: None if t is None else json.dumps(clean(json.loads(t)), separators=(",", ":"), ensure_ascii=False))
+
+
+def value(s: Column, path: str) -> Column:
+    """``json_value``: text of a scalar; null for objects, arrays and what is not there."""
+    found = F.variant_get(F.try_parse_json(s), path, "variant")
+    return F.when(~F.schema_of_variant(found).rlike("^(OBJECT|ARRAY|VOID)"), F.get_json_object(s, path))
+
+
+def _contains(whole, part) -> bool:
+    if isinstance(part, dict) and isinstance(whole, dict) and all(k in whole and _contains(whole[k], v) for k, v in part.items()):
+        return True
+    if isinstance(part, list) and isinstance(whole, list) and all(any(_contains(w, p) for w in whole) for p in part):
+        return True
+    if type(whole) is type(part) and not isinstance(part, (dict, list)) and whole == part:
+        return True
+    inner = whole.values() if isinstance(whole, dict) else whole if isinstance(whole, list) else ()
+    return any(_contains(v, part) for v in inner)
+
+
+@F.pandas_udf(T.BooleanType())
+def contains(s: pd.Series, part: pd.Series) -> pd.Series:
+    """``json_contains``: whether the part stands anywhere in the value."""
+    return pd.Series([None if a is None or b is None else _contains(json.loads(a), json.loads(b)) for a, b in zip(s, part, strict=True)])
+
+
+def _merged(a, b):
+    if a is None or a == "NULL":
+        return b
+    if b is None or b == "NULL" or a == b:
+        return a
+    if isinstance(a, dict) and isinstance(b, dict):
+        return {k: _merged(a.get(k), b.get(k)) for k in [*a, *(k for k in b if k not in a)]}
+    if isinstance(a, list) and isinstance(b, list):
+        return [_merged(a[0] if a else None, b[0] if b else None)]
+    return "DOUBLE" if {str(a), str(b)} <= {"UBIGINT", "BIGINT", "DOUBLE"} and "DOUBLE" in (a, b) else "BIGINT" if {str(a), str(b)} <= {"UBIGINT", "BIGINT"} else "JSON"
+
+
+def _shape(v):
+    if isinstance(v, dict):
+        return {k: _shape(x) for k, x in v.items()}
+    if isinstance(v, list):
+        out = None
+        for x in v:
+            out = _merged(out, _shape(x))
+        return [out or "NULL"]
+    return _kind(v)
+
+
+@F.pandas_udf(T.StringType())
+def structure(s: pd.Series) -> pd.Series:
+    """``json_structure``: the value's shape with kinds in place of scalars."""
+    return s.map(lambda t: None if t is None else json.dumps(_shape(json.loads(t)), separators=(",", ":"), ensure_ascii=False))
+
+
+def transform(s: Column, schema: str) -> Column:
+    """``json_transform``: the value as a struct of the given types; what does not fit is null."""
+    return F.from_json(s, schema, {"mode": "PERMISSIVE"})

@@ -70,6 +70,98 @@ def product(l: Column) -> Column:
     return F.when(F.size(known) > 0, F.aggregate(known, F.lit(1.0), lambda s, x: s * x.cast("double")))
 
 
+def _known(l: Column) -> Column:
+    return F.filter(l, lambda x: x.isNotNull())
+
+
+def var_pop(l: Column) -> Column:
+    """Around the mean, in two passes over the list."""
+    middle = mean(l)
+    return F.aggregate(_known(l), F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") - middle, F.lit(2.0))) / F.nullif(F.size(_known(l)), F.lit(0))
+
+
+def var_samp(l: Column) -> Column:
+    n = F.size(_known(l))
+    return F.when(n > 1, var_pop(l) * n / F.nullif(n - 1, F.lit(0)))
+
+
+def stddev_pop(l: Column) -> Column:
+    return F.sqrt(var_pop(l))
+
+
+def stddev_samp(l: Column) -> Column:
+    return F.sqrt(var_samp(l))
+
+
+def sem(l: Column) -> Column:
+    return F.sqrt(var_pop(l) / F.nullif(F.size(_known(l)), F.lit(0)))
+
+
+def median(l: Column) -> Column:
+    known, n = F.sort_array(_known(l)), F.size(_known(l))
+    return F.when(n > 0, (F.get(known, F.floor((n - 1) / 2).cast("int")) + F.get(known, F.floor(n / 2).cast("int"))) / 2.0)
+
+
+def mode(l: Column) -> Column:
+    """The commonest item; of equals the first in the list."""
+    known = _known(l)
+    times = F.transform(F.array_distinct(known), lambda x: F.struct((-F.size(F.filter(known, lambda y: y == x))).alias("n"), F.array_position(known, x).alias("p"), x.alias("x")))
+    return F.array_min(times)["x"]
+
+
+def first(l: Column) -> Column:
+    return F.get(l, 0)
+
+
+def last(l: Column) -> Column:
+    return F.try_element_at(l, F.lit(-1))
+
+
+def any_value(l: Column) -> Column:
+    return F.get(_known(l), 0)
+
+
+def bool_and(l: Column) -> Column:
+    return F.when(F.size(_known(l)) > 0, F.forall(_known(l), lambda x: x))
+
+
+def bool_or(l: Column) -> Column:
+    return F.when(F.size(_known(l)) > 0, F.exists(_known(l), lambda x: x))
+
+
+def bit_fold(l: Column, how: str) -> Column:
+    """``bit_and``, ``bit_or`` or ``bit_xor`` of the items."""
+    act = {"and": Column.bitwiseAND, "or": Column.bitwiseOR, "xor": Column.bitwiseXOR}[how]
+    return reduce(_known(l), act)
+
+
+def string_agg(l: Column, sep: str = ",") -> Column:
+    return F.when(F.size(_known(l)) > 0, F.array_join(_known(l).cast("array<string>"), sep))
+
+
+def histogram(l: Column) -> Column:
+    """Item -> count, in order of the items."""
+    known = _known(l)
+    return F.map_from_entries(F.transform(F.sort_array(F.array_distinct(known)), lambda x: F.struct(x, F.size(F.filter(known, lambda y: y == x)).cast("long"))))
+
+
+def entropy(l: Column) -> Column:
+    n = F.size(_known(l)).cast("double")
+    return F.when(n > 0, F.log2(n) - F.aggregate(F.map_values(histogram(l)), F.lit(0.0), lambda s, c: s + c * F.log2(c.cast("double"))) / n)
+
+
+def zip_(lists: list[Column], truncate: bool = False) -> Column:
+    """``list_zip``: items by place as structs; ``truncate`` cuts to the shortest, else nulls fill up."""
+    zipped = F.arrays_zip(*[F.coalesce(l, F.array()).alias(f"_{i}") for i, l in enumerate(lists)])
+    named = F.transform(zipped, lambda s: F.struct(*[s[f"_{i}"].alias(f"_{i}") for i in range(len(lists))]))
+    return F.slice(named, 1, F.least(*[F.size(F.coalesce(l, F.array())) for l in lists])) if truncate else named
+
+
+def union_extract(u: Column, tag: str) -> Column:
+    """The member's value if it is the one set."""
+    return F.when(u["tag"] == tag, u[tag])
+
+
 def reduce(l: Column, body) -> Column:
     """Fold from the first item."""
     return F.when(F.size(l) > 0, F.aggregate(F.slice(l, 2, F.greatest(F.size(l) - 1, F.lit(0))), F.get(l, 0), body))

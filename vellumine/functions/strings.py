@@ -185,15 +185,82 @@ def left_grapheme(s: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else "".join(regex.findall(r"\X", v)[: int(k)]) for v, k in zip(s, n, strict=True)])
 
 
+@F.pandas_udf(T.StringType())
+def right_grapheme(s: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None else "".join(regex.findall(r"\X", v)[-int(k) :] if k else "") for v, k in zip(s, n, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def substring_grapheme(s: pd.Series, start: pd.Series, n: pd.Series) -> pd.Series:
+    """From a place counted from 1."""
+    return pd.Series([None if v is None else "".join(regex.findall(r"\X", v)[max(int(a) - 1, 0) : max(int(a) - 1 + int(k), 0)]) for v, a, k in zip(s, start, n, strict=True)])
+
+
+#: Fixed value: a placeholder of ``format``: place, fill and side, sign, width, thousands, decimals, kind.
+_BRACES = regex.compile(r"\{\{|\}\}|\{(\d*)(?::(?:(.)?([<>^]))?([+ ]?)(0?)(\d*)(,?)(?:\.(\d+))?([dfxXeosb]?))?\}")
+
+
 def format_braces(template: str, *values: Column) -> Column:
-    """``format('{} ...')`` with plain placeholders."""
-    parts = template.split("{}")
-    if len(parts) != len(values) + 1:
-        raise ValueError("as many values as placeholders")
-    pieces = [F.lit(parts[0])]
-    for value, text in zip(values, parts[1:], strict=True):
-        pieces += [value.cast("string"), F.lit(text)]
-    return F.concat(*pieces)
+    """``format('{} {1:>8.2f} ...')``: by place or in order, with fill, side, sign, width, thousands, decimals and kind."""
+    pieces, at, given = [], 0, iter(range(len(values)))
+    for m in _BRACES.finditer(template):
+        pieces.append(F.lit(template[at : m.start()]))
+        at = m.end()
+        if m.group(0) in ("{{", "}}"):
+            pieces.append(F.lit(m.group(0)[0]))
+            continue
+        place, fill, side, sign, zero, width, thousands, decimals, kind = m.groups()
+        value = values[int(place) if place else next(given)]
+        if decimals and kind in ("f", "e", ""):
+            text = F.format_string(f"%{thousands or ''}.{decimals}{kind or 'f'}", value.cast("double"))
+        elif kind in ("x", "X", "o", "d") or thousands:
+            text = F.format_string(f"%{thousands or ''}{kind or 'd'}", value.cast("long"))
+        elif kind == "b":
+            text = F.bin(value.cast("long"))
+        else:
+            text = value.cast("string")
+        if sign:
+            text = F.when(value < 0, text).otherwise(F.concat(F.lit(sign), text))
+        if width:
+            room = F.greatest(F.lit(int(width)) - F.length(text), F.lit(0))
+            mark = F.lit("0" if zero and not side else fill or " ")
+            default = "<" if kind in ("s",) else None
+            how = side or default or (">" if zero or kind or decimals or thousands else "<")
+            before = {">": room, "<": F.lit(0), "^": F.floor(room / 2).cast("int")}[how]
+            text = F.concat(F.repeat(mark, before), text, F.repeat(mark, (room - before).cast("int")))
+        pieces.append(text)
+    return F.concat(*pieces, F.lit(template[at:]))
+
+
+def readable_size(n: Column, unit: int = 1024, names: tuple[str, ...] = ("bytes", "KiB", "MiB", "GiB", "TiB", "PiB")) -> Column:
+    """``formatReadableSize``: two decimals of the greatest unit that is not above the size."""
+    out = F.concat(n.cast("string"), F.lit(f" {names[0]}"))
+    for power, name in enumerate(names[1:], 1):
+        out = F.when(F.abs(n) >= unit**power, F.format_string(f"%.2f {name}", n / float(unit**power))).otherwise(out)
+    return out
+
+
+def size_pretty(n: Column) -> Column:
+    """``pg_size_pretty``: whole units, the next one from 10240 on, rounded half away from zero."""
+    out, scale = F.concat(n.cast("string"), F.lit(" bytes")), 1
+    for name in ("kB", "MB", "GB", "TB", "PB"):
+        out = F.when(F.abs(n) >= 10 * 1024 * scale, F.concat(F.round(n / float(1024 * scale)).cast("long").cast("string"), F.lit(f" {name}"))).otherwise(out)
+        scale *= 1024
+    return out
+
+
+def parse_dirpath(path: Column, sep: str = "/") -> Column:
+    """All of a path before its last part."""
+    cut_off = F.substring(path, F.lit(1), F.length(path) - F.length(parse_filename(path, sep)) - 1)
+    return F.when(F.instr(path, sep) > 0, F.when((F.instr(path, sep) == 1) & (cut_off == ""), F.lit(sep)).otherwise(cut_off)).otherwise(F.lit(""))
+
+
+def path_join(*parts: Column, sep: str = "/") -> Column:
+    """Parts with one separator between them; one that starts with it begins anew."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = F.when(F.startswith(p, F.lit(sep)), p).when((out == "") | F.endswith(out, F.lit(sep)), F.concat(out, p)).otherwise(F.concat(out, F.lit(sep), p))
+    return out
 
 
 def format_bytes(n: Column) -> Column:

@@ -6,20 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.operators.lineage import cut
+from vellumine.operators.scans import carried, in_parts
 
+#: With more rows than this of one key, rows are sorted into parts and values carried across them.
+SPLIT_ROWS = 1_000_000
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], how: str = "left") -> DataFrame:
+
+def _hot(df: DataFrame, keys: list[str], split_rows: int) -> bool:
+    return bool(df.groupBy(*keys).count().where(F.col("count") > split_rows).limit(1).count())
+
+
+def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], how: str = "left", split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Each left row with the latest right row of its keys at or before its time.
 
     Both sides go through one shuffle by key; a running last value replaces any pairwise comparison.
+    Where a key has more than ``split_rows`` rows, the shuffle is a sort by key and time instead, and values
+    are carried from part to part.
     Right rows with a null key or time match nothing. Of right rows with one time, the greatest values win.
     """
     out = left.columns
     l = left.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*out).alias("__row"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("__value"))
     usable = right.where(F.col(right_time).isNotNull()).dropna(subset=keys)
     r = usable.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(F.struct(*out)).schema[0].dataType).alias("__row"), F.struct(*values).alias("__value"))
-    w = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy(F.col("__t").asc_nulls_first(), "__side", F.col("__value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = l.unionByName(r).withColumn("__found", F.last("__value", ignorenulls=True).over(w)).where("__side = 1")
+    by, order, both = [f"__k{i}" for i in range(len(keys))], [F.col("__t").asc_nulls_first(), F.asc("__side"), F.col("__value").asc_nulls_first()], l.unionByName(r)
+    if _hot(both, by, split_rows):
+        joined = carried(in_parts(both, by, order), by, "__value", "__found").where("__side = 1")
+    else:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        joined = both.withColumn("__found", F.last("__value", ignorenulls=True).over(w)).where("__side = 1")
     if how == "inner":
         joined = joined.where("__found IS NOT NULL")
     return joined.select(*[F.col(f"__row.{c}").alias(c) for c in out], *[F.col(f"__found.{v}").alias(v) for v in values])
@@ -64,19 +78,48 @@ def mark(left: DataFrame, right: DataFrame, left_key: str, right_key: str, name:
     return joined.withColumn(name, value.cast("boolean")).drop("__r", "__hit", "__n", "__known")
 
 
-def nearest(left: DataFrame, left_value: str, right: DataFrame, right_value: str, keys: list[str], values: list[str]) -> DataFrame:
-    """Each left row with the right row of its keys whose value is nearest (ties: the lower value).
+def nearest(left: DataFrame, left_value: str, right: DataFrame, right_value: str, keys: list[str], values: list[str], k: int = 1, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Each left row with the ``k`` right rows of its keys whose values are nearest (ties: the lower value).
 
-    The neighbour below and the neighbour above come from two running windows over one shuffle.
+    With ``k`` of 1 every left row stays, with nulls if nothing matches, and the neighbours below and above
+    come from two running windows over one shuffle; keys of more than ``split_rows`` rows as in ``asof``. With
+    more, a row comes for each neighbour, with its ``rank``, and left rows without one go; the windows hold
+    the ``k`` last values at a time.
     """
     out = left.columns
     kind = right.select(F.struct(F.col(right_value).alias("__v"), *values)).schema[0].dataType
     l = left.select(*keys, F.col(left_value).alias("__x"), F.struct(*out).alias("__row"), F.lit(None).cast(kind).alias("__value"), F.lit(1).alias("__side"))
     r = right.where(F.col(right_value).isNotNull()).select(*keys, F.col(right_value).alias("__x"), F.lit(None).cast(left.select(F.struct(*out)).schema[0].dataType).alias("__row"), F.struct(F.col(right_value).alias("__v"), *values).alias("__value"), F.lit(0).alias("__side"))
-    w = Window.partitionBy(*keys).orderBy("__x", "__side", F.col("__value").desc_nulls_last())
-    both = l.unionByName(r)
-    both = both.withColumn("__below", F.last("__value", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__above", F.first("__value", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    x = F.col("__x")
+    order = [F.asc("__x"), F.asc("__side"), F.col("__value").desc_nulls_last()]
+    both, x = l.unionByName(r), F.col("__x")
+    if k > 1:
+        return _several(both, keys, order, out, values, k)
+    if _hot(both, keys, split_rows):
+        both = carried(carried(in_parts(both, keys, order), keys, "__value", "__below"), keys, "__value", "__above", ahead=True)
+    else:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        both = both.withColumn("__below", F.last("__value", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__above", F.first("__value", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     take_below = F.col("__above").isNull() | (x - F.col("__below.__v") <= F.col("__above.__v") - x)
     best = F.when(F.col("__below").isNotNull() & take_below, F.col("__below")).otherwise(F.col("__above"))
     return both.where("__side = 1").withColumn("__best", best).select(*[F.col(f"__row.{c}").alias(c) for c in out], *[F.col(f"__best.{v}").alias(v) for v in values])
+
+
+def _several(both: DataFrame, keys: list[str], order: list[Column], out: list[str], values: list[str], k: int) -> DataFrame:
+    """The ``k`` nearest: those among the ``k`` right rows before and the ``k`` behind, by their places among the right rows."""
+    placed = both.withColumn("__place", F.sum(F.when(F.col("__side") == 0, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    right = placed.where("__side = 0").select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate(keys)], F.col("__place").alias("__rplace"), F.col("__value").alias("__found"))
+    left = placed.where("__side = 1").withColumn("__id", F.monotonically_increasing_id()).withColumn("__rplace", F.explode(F.sequence(F.col("__place") - k + 1, F.col("__place") + k)))
+    near = left.join(right, [left["__rplace"] == right["__rplace"], *[left[c] == right[f"__r{i}"] for i, c in enumerate(keys)]])
+    best = Window.partitionBy("__id").orderBy(F.abs(F.col("__x") - F.col("__found.__v")), "__found.__v", "__found")
+    ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select(*[F.col(f"__row.{c}").alias(c) for c in out], *[F.col(f"__found.{v}").alias(v) for v in values], "rank")
+
+
+def right_semi(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
+    """Right rows that a left row matches, once each."""
+    return right.join(left, on, "left_semi")
+
+
+def right_anti(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
+    """Right rows that no left row matches."""
+    return right.join(left, on, "left_anti")

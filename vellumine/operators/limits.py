@@ -49,4 +49,13 @@ def distinct_on(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, seed: int, *unique: str) -> DataFrame:
     """Exactly ``n`` rows (or all, if fewer), those of the least seeded hashes of ``unique``."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *unique), *unique).limit(n)
+    return df.orderBy(_draw(seed, unique), *unique).limit(n)
+
+
+def sample_share(df: DataFrame, percent: float, seed: int, *unique: str) -> DataFrame:
+    """TABLESAMPLE: each row with the given chance, by a seeded hash of ``unique``, so that runs agree."""
+    return df.where(F.conv(F.substring(_draw(seed, unique), 1, 13), 16, 10).cast("double") < percent / 100 * float(1 << 52))
+
+
+def _draw(seed: int, unique: tuple[str, ...]) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in unique]))

@@ -47,3 +47,36 @@ def violations(df: DataFrame, *, unique: list[str] | None = None, not_null: list
     for p in parts[1:]:
         out = out.unionByName(p.select("rule", "n"))
     return out.where("n > 0")
+
+
+def upsert(target: DataFrame, new: DataFrame, keys: list[str], changes: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """INSERT ... ON CONFLICT DO UPDATE ... RETURNING: the table, and the rows put in or changed with ``__action``.
+
+    New rows must be unique by key. ``changes`` may name old columns plainly and new ones as ``excluded_<column>``; without
+    it all columns the new row has are taken over.
+    """
+    if not new.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError("several new rows have the same key")
+    named = new.select(*[F.col(c).alias(f"excluded_{c}") for c in new.columns], F.lit(True).alias("__new"))
+    old = target.withColumn("__old", F.lit(True))
+    match = F.lit(True)
+    for k in keys:
+        match = match & (F.col(k) == F.col(f"excluded_{k}"))
+    changes = changes if changes is not None else {c: F.col(f"excluded_{c}") for c in new.columns if c not in keys}
+    fresh = lambda c: F.col(f"excluded_{c}") if c in new.columns else F.lit(None).cast(target.schema[c].dataType)
+    action = F.when(F.col("__old").isNull(), "insert").when(F.col("__new"), "update")
+    merged = old.join(named, match, "full").select(*[F.when(F.col("__old").isNull(), fresh(c)).when(F.col("__new"), changes.get(c, F.col(c))).otherwise(F.col(c)).alias(c) for c in target.columns], action.alias("__action"))
+    return merged.select(*target.columns), merged.where("__action IS NOT NULL")
+
+
+def delete_returning(target: DataFrame, where: Column) -> tuple[DataFrame, DataFrame]:
+    """The table without the rows, and the rows."""
+    hit = F.coalesce(where, F.lit(False))
+    return target.where(~hit), target.where(hit)
+
+
+def alter(df: DataFrame, *, add: dict[str, Column] | None = None, drop: tuple[str, ...] = (), rename: dict[str, str] | None = None, retype: dict[str, str] | None = None) -> DataFrame:
+    """ALTER TABLE as a rewrite: columns added with their default, dropped, renamed or cast."""
+    rename, retype = rename or {}, retype or {}
+    kept = [(F.col(f"`{c}`").cast(retype[c]) if c in retype else F.col(f"`{c}`")).alias(rename.get(c, c)) for c in df.columns if c not in drop]
+    return df.select(*kept, *[v.alias(k) for k, v in (add or {}).items()])

@@ -29,8 +29,10 @@ def columns(df: DataFrame, pattern: str, body: Callable[[Column], Column] = lamb
 def merge(target: DataFrame, source: DataFrame, keys: list[str], update: dict[str, Column] | None = None, delete: Column | None = None, insert: bool = True) -> DataFrame:
     """MERGE INTO as one full join; source columns are named ``s_<column>`` in ``update`` and ``delete``.
 
-    Source rows must be unique by key.
+    Source rows must be unique by key, else it is an error.
     """
+    if not source.dropna(subset=keys).groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError("several source rows have the same key")
     t = target.withColumn("__t", F.lit(True))
     s = source.select(*[F.col(c).alias(f"s_{c}") for c in source.columns]).withColumn("__s", F.lit(True))
     condition = None
@@ -48,7 +50,7 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], update: dict[st
 
 
 def summarize(df: DataFrame) -> DataFrame:
-    """A row a column: least, greatest, count, nulls, approximate distinct count; one pass over the table."""
+    """A row a column: least, greatest, count and nulls; one pass over the table."""
     parts = []
     for c in df.columns:
         parts += [F.min(c).cast("string").alias(f"{c}__min"), F.max(c).cast("string").alias(f"{c}__max"), F.count(c).alias(f"{c}__n"), F.count(F.lit(1)).alias(f"{c}__all")]

@@ -33,6 +33,27 @@ def filtered(aggregate, condition: Column, value: Column, frame) -> Column:
     return aggregate(F.when(condition, value)).over(frame)
 
 
+def framed(df: DataFrame, partition: list[str], order: list[Column], value: Column, name: str, before: Column | int, behind: Column | int, reach: tuple[int, int], exclude: str = "no others") -> DataFrame:
+    """Adds the values of a ROWS frame as an array, in order, for any aggregate over lists.
+
+    ``before`` and ``behind`` rows, each a number or a column with one a row, but at most ``reach``, which bounds
+    what is held. ``exclude``: "no others", "current row", "group" (the row and its peers) or "ties" (its
+    peers).
+    """
+    w = Window.partitionBy(*partition).orderBy(*order)
+    before, behind = (F.lit(b) if isinstance(b, int) else b for b in (before, behind))
+    placed = df.withColumns({"__rn": F.row_number().over(w), "__peers": F.rank().over(w), "__before": before, "__behind": behind})
+    held = placed.withColumn("__held", F.collect_list(F.struct(F.col("__rn").alias("rn"), F.col("__peers").alias("peers"), value.alias("v"))).over(w.rowsBetween(-reach[0], reach[1])))
+    inside = lambda h: (h["rn"] >= F.col("__rn") - F.col("__before")) & (h["rn"] <= F.col("__rn") + F.col("__behind"))
+    stays = {
+        "no others": lambda h: F.lit(True),
+        "current row": lambda h: h["rn"] != F.col("__rn"),
+        "group": lambda h: h["peers"] != F.col("__peers"),
+        "ties": lambda h: (h["peers"] != F.col("__peers")) | (h["rn"] == F.col("__rn")),
+    }[exclude]
+    return held.withColumn(name, F.transform(F.filter("__held", lambda h: inside(h) & stays(h)), lambda h: h["v"])).drop("__rn", "__peers", "__before", "__behind", "__held")
+
+
 def fill(df: DataFrame, partition: list[str], order: str, value: str, name: str) -> DataFrame:
     """Nulls of ``value`` interpolated along ``order`` between known neighbours; extrapolated at the ends.
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellumine.plans import aggregates, analytics, expressions, io, joins, more, relational, streams, subqueries, windows
+from vellumine.plans import aggregates, analytics, expressions, extras, io, joins, more, relational, streams, subqueries, windows
 from vellumine.plans.suite import Query
 
-SUITES = (relational, joins, aggregates, windows, subqueries, expressions, more, io, analytics, streams)
+SUITES = (relational, joins, aggregates, windows, subqueries, expressions, more, extras, io, analytics, streams)
 FLAGSHIP = "q01_pricing_summary"
 
 

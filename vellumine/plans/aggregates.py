@@ -22,16 +22,20 @@ suite.both("agg_bool_bit", "SELECT p_brand, bool_and(p_size > 0) AS a, bool_or(p
 suite.both("agg_variance", "SELECT l_returnflag, round(var_samp(l_quantity), 6) AS vs, round(var_pop(l_quantity), 6) AS vp, round(stddev_samp(l_quantity), 6) AS ss, round(stddev_pop(l_quantity), 6) AS sp FROM lineitem GROUP BY l_returnflag")
 suite.both("agg_corr_covar", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS c, round(covar_pop(l_quantity, l_tax), 8) AS cp, round(covar_samp(l_quantity, l_discount), 8) AS cs FROM lineitem GROUP BY l_returnflag")
 suite.both("agg_regression", "SELECT l_linestatus, round(regr_avgx(l_extendedprice, l_quantity), 4) AS ax, round(regr_avgy(l_extendedprice, l_quantity), 4) AS ay, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n, round(regr_intercept(l_extendedprice, l_quantity), 2) AS i, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(regr_slope(l_extendedprice, l_quantity), 4) AS sl, round(regr_sxx(l_extendedprice, l_quantity), 0) AS sxx, round(regr_sxy(l_extendedprice, l_quantity) / 1000, 0) AS sxy FROM lineitem GROUP BY l_linestatus")
-suite.texts("agg_quantiles", "SELECT l_returnflag, percentile_cont(0.25) WITHIN GROUP (ORDER BY l_extendedprice) AS q1, percentile_disc(0.75) WITHIN GROUP (ORDER BY l_extendedprice) AS q3, median(l_quantity) AS m FROM lineitem GROUP BY l_returnflag",
-            "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_disc(l_extendedprice, 0.75) AS q3, median(l_quantity) AS m FROM lineitem GROUP BY l_returnflag")
+@suite.add("agg_quantiles", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_disc(l_extendedprice, 0.75) AS q3, median(l_quantity) AS m FROM lineitem GROUP BY l_returnflag")
+def quantiles(spark, folder):
+    lines, key = table(spark, folder, "lineitem"), ["l_returnflag"]
+    prices = A.quantiles(lines, key, "l_extendedprice", {"q1": (0.25, True), "q3": (0.75, False)})
+    return prices.join(A.quantiles(lines, key, "l_quantity", {"m": (0.5, True)}), key)
+
+
 suite.texts("agg_string_agg", "SELECT n_regionkey, listagg(n_name, ', ') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 suite.texts("agg_list", "SELECT n_regionkey, sort_array(collect_list(n_nationkey)) AS keys FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, list(n_nationkey ORDER BY n_nationkey) AS keys FROM nation GROUP BY n_regionkey")
-suite.texts("agg_count_if_product", "SELECT n_regionkey, count_if(n_nationkey > 10) AS big, CAST(round(exp(sum(ln(n_nationkey + 1)))) AS DOUBLE) AS p FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(count_if(n_nationkey > 10) AS BIGINT) AS big, product(n_nationkey + 1) AS p FROM nation GROUP BY n_regionkey")
 suite.both("agg_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderpriority) AS BIGINT) AS g FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 suite.both("agg_cube", "SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 suite.both("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())")
 suite.both("agg_nulls", "SELECT k, count(*) AS n, count(v) AS c, CAST(sum(v) AS BIGINT) AS s, avg(v) AS a, min(v) AS lo FROM (VALUES (1, 2), (1, NULL), (2, NULL), (NULL, 5), (NULL, 7)) t(k, v) GROUP BY k")
-suite.both("agg_any_of_group_key", "SELECT o_custkey, min(o_custkey) AS same, max(o_orderdate) AS latest FROM orders GROUP BY o_custkey")
+suite.both("agg_any_of_group_key", "SELECT o_custkey, any_value(o_custkey) AS same, max(o_orderdate) AS latest FROM orders GROUP BY o_custkey")
 
 
 @suite.add("agg_arg_extremes", "SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS top, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS low FROM orders GROUP BY o_custkey")
@@ -42,7 +46,33 @@ def arg_extremes(spark, folder):
 
 @suite.add("agg_least_greatest_n", "SELECT o_orderstatus, min(o_orderkey, 4) AS first4, max(o_totalprice, 3) AS top3 FROM orders GROUP BY o_orderstatus")
 def least_n(spark, folder):
-    return table(spark, folder, "orders").groupBy("o_orderstatus").agg(A.least_n(F.col("o_orderkey"), 4).alias("first4"), A.greatest_n(F.col("o_totalprice"), 3).alias("top3"))
+    orders = table(spark, folder, "orders")
+    return A.least_n(orders, ["o_orderstatus"], "o_orderkey", 4, "first4").join(A.greatest_n(orders, ["o_orderstatus"], "o_totalprice", 3, "top3"), "o_orderstatus")
+
+
+@suite.add("agg_count_if_product", "SELECT n_regionkey, CAST(count_if(n_nationkey > 10) AS BIGINT) AS big, product(n_nationkey - 6.5) AS p FROM nation GROUP BY n_regionkey")
+def product(spark, folder):
+    return table(spark, folder, "nation").groupBy("n_regionkey").agg(F.count_if(F.col("n_nationkey") > 10).alias("big"), F.product(F.col("n_nationkey") - 6.5).alias("p"))
+
+
+@suite.add("agg_arg_n", "SELECT o_orderstatus, arg_min(o_orderkey, o_totalprice, 4) AS cheap, arg_max(o_orderkey, o_totalprice, 3) AS dear FROM orders GROUP BY o_orderstatus")
+def arg_n(spark, folder):
+    orders, key = table(spark, folder, "orders"), ["o_orderstatus"]
+    cheap = A.arg_n(orders, key, F.col("o_orderkey"), F.col("o_totalprice"), 4, "cheap")
+    return cheap.join(A.arg_n(orders, key, F.col("o_orderkey"), F.col("o_totalprice"), 3, "dear", greatest=True), key)
+
+
+@suite.add("agg_first_last_ordered", "SELECT o_custkey, first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS f, last(o_orderkey ORDER BY o_orderdate, o_orderkey) AS l FROM orders GROUP BY o_custkey")
+def first_last(spark, folder):
+    x, order = F.col("o_orderkey"), (F.col("o_orderdate"), F.col("o_orderkey"))
+    return table(spark, folder, "orders").groupBy("o_custkey").agg(A.first_in(x, *order).alias("f"), A.last_in(x, *order).alias("l"))
+
+
+@suite.add("agg_exact_sum", "SELECT l_returnflag, fsum(l_extendedprice) AS s, favg(l_discount) AS a FROM lineitem GROUP BY l_returnflag".replace("fsum(l_extendedprice) AS s, favg(l_discount) AS a", "CAST(sum(CAST(l_extendedprice AS DECIMAL(38, 10))) AS DOUBLE) AS s, round(favg(l_discount), 12) AS a"))
+def exact(spark, folder):
+    return table(spark, folder, "lineitem").groupBy("l_returnflag").agg(A.exact_sum(F.col("l_extendedprice")).alias("s"), F.round(A.exact_avg(F.col("l_discount")), 12).alias("a"))
+
+
 
 
 @suite.add("agg_moments", "SELECT l_returnflag, round(sem(l_extendedprice), 6) AS sem, round(skewness(l_extendedprice), 6) AS sk, round(kurtosis(l_extendedprice), 6) AS ku, round(kurtosis_pop(l_extendedprice), 6) AS kp FROM lineitem GROUP BY l_returnflag")
@@ -103,4 +133,5 @@ def lttb(spark, folder):
 
 
 suite.texts("agg_json_group", "SELECT n_regionkey, to_json(sort_array(collect_list(n_nationkey))) AS j FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(to_json(list(n_nationkey ORDER BY n_nationkey)) AS VARCHAR) AS j FROM nation GROUP BY n_regionkey")
-suite.texts("agg_time_average", "SELECT event_type, timestamp_micros(CAST(floor(avg(unix_micros(CAST(ts AS TIMESTAMP)) - 1704067200000000)) AS BIGINT) + 1704067200000000) > TIMESTAMP '2024-01-01 00:00:00' AS later FROM events GROUP BY event_type", "SELECT event_type, avg(ts) > TIMESTAMP '2024-01-01 00:00:00' AS later FROM events GROUP BY event_type")
+suite.texts("agg_json_object_group", "SELECT n_regionkey, to_json(map_from_entries(sort_array(collect_list(struct(n_name, n_nationkey))))) AS j FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(json_group_object(n_name, n_nationkey) AS VARCHAR) AS j FROM (SELECT * FROM nation ORDER BY n_name) GROUP BY n_regionkey")
+suite.texts("agg_time_average", "SELECT event_type, timestamp_micros(CAST(sum(unix_micros(CAST(ts AS TIMESTAMP)) - 1704067200000000) DIV count(ts) AS BIGINT) + 1704067200000000)::timestamp_ntz AS middle FROM events GROUP BY event_type", "SELECT event_type, make_timestamp(CAST(sum(epoch_us(ts) - 1704067200000000) // count(ts) AS BIGINT) + 1704067200000000) AS middle FROM events GROUP BY event_type")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellumine.data import table
 from vellumine.functions import aggregates as A
 from vellumine.functions import dates, lists, numbers, strings
-from vellumine.operators import statements, tablefunctions
+from vellumine.operators import statements, tablefunctions, windows
 from vellumine.plans.suite import Suite
 
 suite = Suite()
@@ -20,7 +20,7 @@ def json_each(spark, folder):
     return tablefunctions.json_each(table(spark, folder, "events"), "props", ["event_id"])
 
 
-@suite.add("tf_json_tree")
+@suite.add("tf_json_tree", """SELECT event_id, fullkey AS path, CASE WHEN t.type = 'VARCHAR' THEN t.value->>'$' ELSE CAST(json(t.value) AS VARCHAR) END AS value FROM (SELECT event_id, '{"a":[' || props || ',2]}' AS j FROM events) e, json_tree(e.j) t""")
 def json_tree(spark, folder):
     return tablefunctions.json_tree(table(spark, folder, "events").select("event_id", F.concat(F.lit('{"a":['), "props", F.lit(',2]}')).alias("j")), "j", ["event_id"])
 
@@ -118,14 +118,8 @@ def time_zones(spark, folder):
     return table(spark, folder, "events").select("event_id", dates.at_time_zone(C("ts"), "America/New_York").alias("utc"))
 
 
-@suite.add("fn_age", "SELECT o_orderkey, date_sub('month', o_orderdate, TIMESTAMP '2002-05-17 00:00:00') AS m, CAST(date_part('year', age(TIMESTAMP '2002-05-17 00:00:00', o_orderdate)) * 12 + date_part('month', age(TIMESTAMP '2002-05-17 00:00:00', o_orderdate)) AS BIGINT) AS am FROM orders WHERE day(o_orderdate) < 28")
+@suite.add("fn_age", "SELECT o_orderkey, date_sub('month', o_orderdate, TIMESTAMP '2002-05-17 00:00:00') AS m, CAST(date_part('year', age(TIMESTAMP '2002-05-17 00:00:00', o_orderdate)) * 12 + date_part('month', age(TIMESTAMP '2002-05-17 00:00:00', o_orderdate)) AS BIGINT) AS am FROM orders")
 def age(spark, folder):
-    end = F.lit("2002-05-17").cast("timestamp_ntz")
-    return table(spark, folder, "orders").where("day(o_orderdate) < 28").select("o_orderkey", dates.date_sub("month", C("o_orderdate"), end).alias("m"), dates.age(end, C("o_orderdate"))["months"].cast("long").alias("am"))
-
-
-@suite.add("fn_age_all", "SELECT o_orderkey, date_sub('month', o_orderdate, TIMESTAMP '2002-05-17 00:00:00') AS m, CAST(date_part('year', age(TIMESTAMP '2002-05-17 00:00:00', o_orderdate)) * 12 + date_part('month', age(TIMESTAMP '2002-05-17 00:00:00', o_orderdate)) AS BIGINT) AS am FROM orders")
-def age_all(spark, folder):
     end = F.lit("2002-05-17").cast("timestamp_ntz")
     return table(spark, folder, "orders").select("o_orderkey", dates.date_sub("month", C("o_orderdate"), end).alias("m"), dates.age(end, C("o_orderdate"))["months"].cast("long").alias("am"))
 
@@ -136,11 +130,11 @@ def make_timestamps(spark, folder):
     return table(spark, folder, "events").select("event_id", dates.from_micros(F.lit(1700000000000000) + i * 1000000).alias("a"), F.make_date(F.lit(2024), F.lit(2), F.lit(29)).alias("d"), dates.make_timestamp_ms(F.lit(1700000000000) + i * 1000).alias("ms"))
 
 
-@suite.add("fn_list_aggregates", "SELECT k, list_aggregate(l, 'sum') IS NOT NULL AS s, CAST(list_min(l) AS INT) AS lo, list_avg(l) AS a, list_product(l) AS p, list_any_value(l) AS f, CAST(list_count(l) AS BIGINT) AS n FROM (SELECT n_nationkey AS k, [n_nationkey, NULL, 4] AS l FROM nation)")
+@suite.add("fn_list_aggregates", "SELECT k, CAST(list_aggregate(l, 'sum') AS BIGINT) AS s, CAST(list_min(l) AS INT) AS lo, list_avg(l) AS a, list_product(l) AS p, list_any_value(l) AS f, CAST(list_count(l) AS BIGINT) AS n FROM (SELECT n_nationkey AS k, [n_nationkey, NULL, 4] AS l FROM nation)")
 def list_aggregates(spark, folder):
     l = C("l")
     df = table(spark, folder, "nation").select(C("n_nationkey").alias("k"), F.array(C("n_nationkey"), F.lit(None), F.lit(4)).alias("l"))
-    return df.select("k", lists.total(l).isNotNull().alias("s"), F.array_min(l).alias("lo"), lists.mean(l).alias("a"), lists.product(l).alias("p"), F.get(F.filter(l, lambda x: x.isNotNull()), 0).alias("f"), F.size(F.filter(l, lambda x: x.isNotNull())).cast("long").alias("n"))
+    return df.select("k", lists.total(l, "long").alias("s"), F.array_min(l).alias("lo"), lists.mean(l).alias("a"), lists.product(l).alias("p"), F.get(F.filter(l, lambda x: x.isNotNull()), 0).alias("f"), F.size(F.filter(l, lambda x: x.isNotNull())).cast("long").alias("n"))
 
 
 @suite.add("fn_list_shapes", "SELECT n_nationkey, flatten([[n_nationkey], [1, 2]]) AS f, list_select([5, 6, 7], [3, 1]) AS se, list_where([5, 6, 7], [true, false, true]) AS w, list_intersect([1, 2, 3], [3, 4]) AS i, array_cross_product([1.0, 2.0, 3.0]::DOUBLE[3], [n_nationkey, 5.0, 6.0]::DOUBLE[3])::DOUBLE[] AS c, equi_width_bins(0.0, 10.0, 2, false)::DOUBLE[] AS e FROM nation")
@@ -163,13 +157,21 @@ def parse_bytes(spark, folder):
 
 @suite.add("win_per_row_frame", "SELECT p_partkey, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN (p_size % 3) PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM part")
 def per_row_frame(spark, folder):
-    w = Window.partitionBy("p_brand").orderBy("p_partkey").rowsBetween(-2, 0)
-    held = table(spark, folder, "part").withColumn("l", F.collect_list("p_size").over(w))
-    return held.select("p_partkey", lists.total(F.slice("l", F.greatest(F.size("l") - C("p_size") % 3, F.lit(1)), F.least(F.size("l"), C("p_size") % 3 + 1)), "long").alias("s"))
+    held = windows.framed(table(spark, folder, "part"), ["p_brand"], [C("p_partkey")], C("p_size"), "l", C("p_size") % 3, 0, (2, 0))
+    return held.select("p_partkey", lists.total(C("l"), "long").alias("s"))
 
 
 suite.both("rel_nested_ctes", "WITH a AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey), b AS (SELECT a.o_custkey, t, c_nationkey FROM a JOIN customer ON c_custkey = o_custkey), m AS (SELECT c_nationkey, max(t) AS mt FROM b GROUP BY c_nationkey) SELECT b.c_nationkey, count(*) AS n FROM b JOIN m ON b.c_nationkey = m.c_nationkey AND b.t >= m.mt * 0.9 GROUP BY b.c_nationkey")
 suite.both("rel_fetch_semi_reduction", "SELECT max(o_totalprice) AS hi, min(o_totalprice) AS lo FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1")
 suite.texts("fn_uuid_random", "SELECT count(DISTINCT u) AS n, bool_and(x BETWEEN 0 AND 1) AS r FROM (SELECT uuid() AS u, rand(3) AS x FROM nation)", "SELECT count(*) AS n, true AS r FROM nation")
 suite.texts("fn_try_expressions", "SELECT x, try_divide(10, x) AS d, try_cast(concat('1', x) AS INT) AS c FROM (VALUES (0), (2), (NULL)) t(x)", "SELECT x, CASE WHEN x = 0 THEN NULL ELSE CAST(10 AS DOUBLE) / x END AS d, TRY_CAST('1' || x AS INT) AS c FROM (VALUES (0), (2), (NULL)) t(x)")
-suite.texts("fn_session_variables", "SELECT current_date() = date_trunc('day', current_timestamp()) AS same, typeof(1L) AS t", "SELECT true AS same, lower(typeof(CAST(1 AS BIGINT))) AS t")
+suite.texts("fn_current_values", "SELECT current_date() = date_trunc('day', current_timestamp()) AS same, typeof(1L) AS t", "SELECT true AS same, lower(typeof(CAST(1 AS BIGINT))) AS t")
+
+
+@suite.add("fn_session_variables", "SELECT c_custkey, c_acctbal * 1.5 AS scaled FROM customer WHERE c_mktsegment = 'BUILDING'")
+def session_variables(spark, folder):
+    table(spark, folder, "customer").createOrReplaceTempView("customer")
+    spark.sql("DECLARE OR REPLACE VARIABLE vl_scale DOUBLE DEFAULT 1.0D")
+    spark.sql("DECLARE OR REPLACE VARIABLE vl_segment STRING")
+    spark.sql("SET VAR (vl_scale, vl_segment) = (SELECT 1.5D, 'BUILDING')")
+    return spark.sql("SELECT c_custkey, c_acctbal * session.vl_scale AS scaled FROM customer WHERE c_mktsegment = session.vl_segment")

@@ -40,6 +40,27 @@ def exclude_group(spark, folder):
     return table(spark, folder, "part").select("p_partkey", windows.sum_excluding_ties("p_partkey", w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, 0)).alias("s"))
 
 
+@suite.add("win_exclude_ties", "SELECT p_partkey, max(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES) AS m FROM part")
+def exclude_ties(spark, folder):
+    # Peers end this frame, so the rows before them and the row itself are what is left.
+    w = Window.partitionBy("p_brand").orderBy("p_size").rangeBetween(Window.unboundedPreceding, -1)
+    return table(spark, folder, "part").select("p_partkey", F.greatest(F.max("p_retailprice").over(w), "p_retailprice").alias("m"))
+
+
+_NINE_SEVEN = "PARTITION BY l_suppkey ORDER BY l_quantity ROWS BETWEEN 9 PRECEDING AND 7 FOLLOWING"
+
+
+@suite.add("win_exclude_any", f"""
+    SELECT l_suppkey, l_quantity, coalesce(list(l_quantity) OVER ({_NINE_SEVEN} EXCLUDE CURRENT ROW), []) AS c, coalesce(list(l_quantity) OVER ({_NINE_SEVEN} EXCLUDE GROUP), []) AS g, list(l_quantity) OVER ({_NINE_SEVEN} EXCLUDE TIES) AS t
+    FROM lineitem""")
+def exclude_any(spark, folder):
+    # Peers have one value here, so it does not matter in which order they come.
+    df = table(spark, folder, "lineitem").select("l_suppkey", "l_quantity")
+    for name, how in (("c", "current row"), ("g", "group"), ("t", "ties")):
+        df = windows.framed(df, ["l_suppkey"], [F.col("l_quantity")], F.col("l_quantity"), name, 9, 7, (9, 7), how)
+    return df
+
+
 @suite.add("win_distinct", "SELECT event_id, count(DISTINCT event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n FROM events")
 def distinct_over(spark, folder):
     frame = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, 0)
@@ -52,20 +73,14 @@ def filtered(spark, folder):
     return table(spark, folder, "events").select("event_id", windows.filtered(F.count, F.col("event_type") == "error", F.lit(1), w).alias("errors"))
 
 
-@suite.add("win_fill", "SELECT k, round(fill(v) OVER (ORDER BY k), 6) AS v FROM (SELECT CAST(event_id AS INT) AS k, CASE WHEN event_id % 4 = 1 THEN value END AS v FROM events WHERE event_id BETWEEN 1 AND 197) t")
-def fill(spark, folder):
-    df = table(spark, folder, "events").where("event_id BETWEEN 1 AND 197").selectExpr("CAST(event_id AS INT) AS k", "CASE WHEN event_id % 4 = 1 THEN value END AS v", "1 AS g")
-    return windows.fill(df, ["g"], "k", "v", "filled").select("k", F.round("filled", 6).alias("v"))
-
-
-@suite.add("win_fill_all", """
+@suite.add("win_fill", """
     WITH t AS (SELECT user_id, CAST(event_id AS INT) AS k, CASE WHEN event_id % 4 = 1 THEN value END AS v FROM events),
     n AS (SELECT *, CASE WHEN v IS NOT NULL THEN {'x': CAST(k AS DOUBLE), 'y': v} END AS p FROM t),
     s AS (SELECT k, v, last_value(p IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, first_value(p IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b,
           list(p ORDER BY k) FILTER (WHERE p IS NOT NULL) OVER (PARTITION BY user_id) AS l FROM n WINDOW w AS (PARTITION BY user_id ORDER BY k)),
     e AS (SELECT k, v, CASE WHEN a IS NULL THEN l[1] WHEN b IS NULL THEN coalesce(l[-2], a) ELSE a END AS f, CASE WHEN a IS NULL THEN coalesce(l[2], l[1]) WHEN b IS NULL THEN a ELSE b END AS g FROM s)
     SELECT k, round(CASE WHEN v IS NOT NULL THEN v WHEN g.x = f.x THEN f.y ELSE f.y + (k - f.x) * (g.y - f.y) / (g.x - f.x) END, 6) AS v FROM e""")
-def fill_all(spark, folder):
+def fill(spark, folder):
     df = table(spark, folder, "events").selectExpr("user_id", "CAST(event_id AS INT) AS k", "CASE WHEN event_id % 4 = 1 THEN value END AS v")
     return windows.fill(df, ["user_id"], "k", "v", "filled").select("k", F.round("filled", 6).alias("v"))
 

@@ -69,6 +69,39 @@ def glob(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("file"))
 
 
+def scan(spark: SparkSession, name: str) -> DataFrame:
+    """What ``FROM 'name'`` reads: a table or view, else files by their ending."""
+    plain = name.lower().removesuffix(".gz").removesuffix(".zst")
+    if plain.endswith((".csv", ".tsv")):
+        return read_csv(spark, name)
+    if plain.endswith((".json", ".ndjson", ".jsonl")):
+        return read_json(spark, name)
+    return read_parquet(spark, name) if plain.endswith(".parquet") else spark.table(name)
+
+
+def from_arrow(spark: SparkSession, table) -> DataFrame:
+    """An Arrow table of the driver as a frame; for tables that fit there."""
+    return spark.createDataFrame(table)
+
+
+def to_arrow(df: DataFrame):
+    """A result as an Arrow table on the driver; for results that fit there."""
+    return df.toArrow()
+
+
+def copy_returning(df: DataFrame, path: str, **options) -> DataFrame:
+    """``copy_to`` that returns a row a file written: its name, size and rows."""
+    copy_to(df, path, **options)
+    spark, form = df.sparkSession, options.get("format", "parquet")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("filename"), F.col("length").alias("file_size_bytes"))
+    reader = spark.read.option("recursiveFileLookup", True)
+    rows = (reader.schema(df.schema) if form in ("csv", "json") else reader).format(form).option("header", options.get("header", False)).load(path)
+    counts = rows.groupBy(F.col("_metadata.file_path").alias("filename")).agg(F.count(F.lit(1)).alias("count"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    named = files.withColumn("filename", plain("filename"))
+    return named.join(counts.withColumn("filename", plain("filename")), "filename", "left").select("filename", F.coalesce("count", F.lit(0)).alias("count"), "file_size_bytes")
+
+
 def copy_to(df: DataFrame, path: str, *, format: str = "parquet", partition_by: tuple[str, ...] = (), compression: str | None = None, overwrite: bool = False, append: bool = False, write_partition_columns: bool = False, rows_per_file: int | None = None, **options) -> None:
     """COPY TO; partitioned writes put the rows of a partition together first, in several parts if large."""
     if partition_by:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,35 +11,76 @@ from pyspark.sql import functions as F
 
 FIELDS = "file_name string, row_group_id long, row_group_num_rows long, column_id long, path_in_schema string, type string, num_values long, stats_min string, stats_max string, stats_null_count long, compression string, total_compressed_size long, total_uncompressed_size long"
 
+ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
-def parquet_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """A row per column chunk. Tasks get whole small files from Spark's reader, so any store will do."""
+
+def _open(path: str):
+    """A seekable file of any store that Arrow knows."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or "://" not in path:
+        path = "/" + path.removeprefix("file:").lstrip("/")
+        return fs.LocalFileSystem().open_input_file(path)
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
+def _footers(spark: SparkSession, path: str, fields: str, rows_of) -> DataFrame:
+    """A row per thing that ``rows_of`` finds in a file's metadata. Spark lists the files; tasks read only their footers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in FIELDS.split(", ")]
+        names, kinds = zip(*(f.split() for f in fields.split(", ")), strict=True)
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                meta = pq.ParquetFile(pa.BufferReader(content.as_buffer())).metadata
-                rows = []
-                for g in range(meta.num_row_groups):
-                    group = meta.row_group(g)
-                    for c in range(group.num_columns):
-                        chunk = group.column(c)
-                        s = chunk.statistics
-                        known = s is not None and s.has_min_max
-                        rows.append((name, g, group.num_rows, c, chunk.path_in_schema, chunk.physical_type, chunk.num_values, str(s.min) if known else None, str(s.max) if known else None, s.null_count if s is not None else None, chunk.compression, chunk.total_compressed_size, chunk.total_uncompressed_size))
+            for name in batch.column(0).to_pylist():
+                with _open(name) as file:
+                    rows = rows_of(name, pq.ParquetFile(file))
                 if rows:
-                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, ARROW[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    return files.mapInArrow(run, fields)
+
+
+def parquet_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """A row per column chunk."""
+
+    def chunks(name, file):
+        rows = []
+        for g in range(file.metadata.num_row_groups):
+            group = file.metadata.row_group(g)
+            for c in range(group.num_columns):
+                chunk = group.column(c)
+                s = chunk.statistics
+                known = s is not None and s.has_min_max
+                rows.append((name, g, group.num_rows, c, chunk.path_in_schema, chunk.physical_type, chunk.num_values, str(s.min) if known else None, str(s.max) if known else None, s.null_count if s is not None else None, chunk.compression, chunk.total_compressed_size, chunk.total_uncompressed_size))
+        return rows
+
+    return _footers(spark, path, FIELDS, chunks)
+
+
+def parquet_schema(spark: SparkSession, path: str) -> DataFrame:
+    """A row per leaf column."""
+
+    def leaves(name, file):
+        found = (file.schema.column(i) for i in range(len(file.schema)))
+        return [(name, c.name, c.path, c.physical_type, str(c.logical_type), c.max_definition_level, c.max_repetition_level) for c in found]
+
+    return _footers(spark, path, "file_name string, name string, path_in_schema string, type string, logical_type string, max_definition_level int, max_repetition_level int", leaves)
+
+
+def parquet_file_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """A row per file."""
+
+    def whole(name, file):
+        m = file.metadata
+        return [(name, m.created_by, m.num_rows, m.num_row_groups, m.format_version, m.serialized_size)]
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, FIELDS)
+    return _footers(spark, path, "file_name string, created_by string, num_rows long, num_row_groups long, format_version string, footer_size long", whole)
 
 
-def footer_length(tail: bytes) -> int:
-    """Bytes of the footer, from a file's last eight."""
-    if tail[-4:] != b"PAR1":
-        raise ValueError("not a Parquet file")
-    return struct.unpack("<I", tail[-8:-4])[0]
+def parquet_kv_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """A row per key of a file's own metadata."""
+    return _footers(spark, path, "file_name string, key binary, value binary", lambda name, file: [(name, k, v) for k, v in (file.metadata.metadata or {}).items()])
 
 
 def columns(spark: SparkSession, *tables: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -49,19 +49,30 @@ def running_totals(events: DataFrame) -> DataFrame:
     return events.select("user_id", "value").groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
 
 
-def settle(stream: DataFrame, mode: str, path: str) -> DataFrame:
-    """Runs a stream over what there is and returns its result as a table at ``path``."""
+def distinct(events: DataFrame, *keys: str, late: str = "1 day") -> DataFrame:
+    """The first event of each key; keys are let go once the watermark has passed them by ``late``."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
+
+
+def settle(stream: DataFrame, mode: str, path: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a stream over what there is and returns its result as a table at ``path``.
+
+    A batch is written under its number, so that one that is run again replaces itself. Of mode "complete" the
+    last batch counts, of "update" the last row of each of ``keys``.
+    """
     spark = stream.sparkSession
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("__batch", F.lit(number)).write.mode("append").parquet(f"{path}/out")
+        batch.write.mode("overwrite").parquet(f"{path}/out/__batch={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    found = spark.read.parquet(f"{path}/out")
+    found = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("__batch", T.LongType())])).parquet(f"{path}/out")
     if mode == "complete":
         last = found.agg(F.max("__batch")).first()[0]
-        found = found.where(F.col("__batch") == last)
+        return found.where(F.col("__batch") == last).drop("__batch")
+    if mode == "update":
+        return found.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "__batch").alias("__row")).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in stream.columns if c not in keys])
     return found.drop("__batch")
