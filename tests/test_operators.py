@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import math
+import os
+import random
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vellumine.functions import dates, lists, numbers, strings
-from vellumine.operators import joins, limits, recursive, tables, windows
+from vellumine.functions import aggregates as A
+from vellumine.functions import dates, lists, numbers, strings, structs
+from vellumine.operators import joins, limits, recursive, statements, tables, windows
 from vellumine.operators.limits import Key
 from vellumine.sources import files, metadata
+from vellumine.streaming import events
 
 
 def rows(df):
@@ -124,3 +133,163 @@ def test_files(spark, tmp_path):
     meta = metadata.parquet_metadata(spark, str(tmp_path / "p" / "i=1"))
     assert {r["path_in_schema"] for r in meta.collect()} == {"s", "d"}
     assert files.read_text(spark, str(tmp_path / "c")).where(F.contains("content", F.lit("a;b"))).count() == 1
+
+
+def test_hot_keys_are_split_alike(spark):
+    draw = random.Random(1)
+    left = spark.createDataFrame([(draw.choice([1, 1, 1, 2, None]), draw.choice([None, *range(60)]), i) for i in range(400)], "k int, t int, i int")
+    right = spark.createDataFrame([(draw.choice([1, 1, 1, 2, None]), draw.choice([None, *range(60)]), f"v{i % 9}") for i in range(300)], "k int, u int, v string")
+    for how in ("left", "inner"):
+        assert rows(joins.asof(left, right, ["k"], "t", "u", ["v"], how, split_rows=5)) == rows(joins.asof(left, right, ["k"], "t", "u", ["v"], how))
+    assert rows(joins.nearest(left, "t", right, "u", ["k"], ["v"], split_rows=5)) == rows(joins.nearest(left, "t", right, "u", ["k"], ["v"]))
+
+
+def test_nearest_several(spark):
+    left = spark.createDataFrame([(1, 10), (1, 0), (2, 1), (1, None)], "k int, x int")
+    right = spark.createDataFrame([(1, 4, "a"), (1, 16, "b"), (1, None, "c"), (1, 11, "d"), (1, 9, "e")], "k int, y int, v string")
+    near = joins.nearest(left, "x", right, "y", ["k"], ["v"], k=2)
+    assert rows(near) == [(1, 0, "a", 1), (1, 0, "e", 2), (1, 10, "d", 2), (1, 10, "e", 1)]
+
+
+def test_quantiles_of_one_group_and_ties(spark):
+    values = [3.0, 1.0, 2.0, 2.0, None, 2.0, 9.0]
+    df = spark.createDataFrame([(1, v) for v in values] + [(None, 5.0), (2, None)], "k int, v double").repartition(3)
+    got = rows(A.quantiles(df, ["k"], "v", {"q": (0.25, True), "m": (0.5, True), "d": (0.9, False)}))
+    known = sorted(v for v in values if v is not None)
+    assert got == sorted([(1, float(np.quantile(known, 0.25)), 2.0, 9.0), (None, 5.0, 5.0, 5.0)], key=repr)
+    assert rows(A.least_n(df, ["k"], "v", 2, "l")) == sorted([(1, [1.0, 2.0]), (None, [5.0])], key=repr)
+    assert A.arg_n(df, ["k"], F.col("v"), F.col("v"), 3, "l", greatest=True).where("k = 1").first()["l"] == [9.0, 3.0, 2.0]
+
+
+def brute_lttb(points, n):
+    points = sorted(points)
+    if len(points) <= n:
+        return points
+    edges = [math.floor(k * (len(points) - 2) / (n - 2)) + 1 for k in range(n - 1)]
+    kept = [points[0]]
+    for k in range(n - 2):
+        after = points[edges[k + 1] : edges[k + 2]] if k + 2 < len(edges) else points[-1:]
+        cx, cy = sum(p[0] for p in after) / len(after), sum(p[1] for p in after) / len(after)
+        ax, ay = kept[-1]
+        kept.append(max(points[edges[k] : edges[k + 1]], key=lambda p: abs((ax - cx) * (p[1] - ay) - (ax - p[0]) * (cy - ay))))
+    return [*kept, points[-1]]
+
+
+@pytest.mark.parametrize("n", [3, 7, 20])
+def test_lttb_equals_brute_force(spark, n):
+    draw = random.Random(n)
+    series = {g: [(float(i), draw.uniform(-5, 5)) for i in range(m)] for g, m in (("a", 500), ("b", 19), ("c", 5), ("d", 1))}
+    df = spark.createDataFrame([(g, *p) for g, s in series.items() for p in s] + [("a", None, 1.0)], "g string, x double, y double").repartition(5)
+    got = rows(A.lttb(df, ["g"], "x", "y", n))
+    assert got == sorted(((g, *p) for g, s in series.items() for p in brute_lttb(s, n)), key=repr)
+    flat = spark.createDataFrame([("f", float(i), 1.0) for i in range(50)], "g string, x double, y double")
+    assert A.lttb(flat, ["g"], "x", "y", n).count() == n
+
+
+def test_sketches_stay_within_their_bounds(spark):
+    df = spark.range(20_000).select((F.col("id") % 5000).alias("u"), (F.col("id") * 7919 % 20_000).cast("double").alias("x"), F.when(F.col("id") % 10 < 6, "often").when(F.col("id") % 10 < 9, "some").otherwise(F.concat(F.lit("r"), F.col("id"))).alias("t"))
+    r = df.agg(F.approx_count_distinct("u", 0.02).alias("n"), F.percentile_approx("x", F.lit(0.9), F.lit(10000)).alias("p"), F.expr("approx_top_k(t, 2)").alias("top"), A.distinct_finalize(A.distinct_state(F.col("u"))).alias("s")).first()
+    assert abs(r["n"] - 5000) < 5000 * 0.06 and abs(r["s"] - 5000) < 5000 * 0.05 and abs(r["p"] - 18_000) < 20
+    assert [(t["item"], t["count"]) for t in r["top"]] == [("often", 12_000), ("some", 6_000)]
+    parts = df.groupBy(F.col("u") % 7).agg(A.distinct_state(F.col("u")).alias("s"))
+    assert abs(parts.agg(A.distinct_finalize(A.distinct_merge(F.col("s"))).alias("n")).first()["n"] - 5000) < 5000 * 0.05
+    q = A.reservoir_quantile(df.withColumn("g", F.lit(1)), ["g"], "x", 0.5, "m", 2000).first()["m"]
+    assert abs(q - 10_000) < 1200
+
+
+def test_recursion_with_aggregates_and_order(spark):
+    anchor = spark.createDataFrame([(1, 1, 0)], "k int, v int, n int")
+    step = lambda rows, _: rows.where("n < 4").selectExpr("k", "1 AS v", "n + 1 AS n")
+    assert rows(recursive.using_key(anchor, ["k"], step, combine={"v": F.sum})) == [(1, 5, 4)]
+    down = lambda rows, _: rows.where("v > 0").selectExpr("k", "v - 1 AS v", "n")
+    assert rows(recursive.using_key(spark.createDataFrame([(1, 5, 0)], "k int, v int, n int"), ["k"], down, combine={"v": F.max})) == [(1, 5, 0)]
+    edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 4)], "a int, b int")
+    walk = lambda rows: rows.join(edges, rows["n"] == edges["a"]).select(F.col("b").alias("n"), "__way", "__seen")
+    start = spark.createDataFrame([(0,)], "n int")
+    order = lambda breadth: [r["n"] for r in recursive.search_order(start, walk, ["n"], breadth).orderBy("ordering").collect()]
+    assert order(False) == [0, 1, 3, 2, 4] and order(True) == [0, 1, 2, 3, 4]
+
+
+def test_merge_refuses_repeated_source_rows(spark):
+    target, twice = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
+    with pytest.raises(ValueError):
+        tables.merge(target, twice, ["k"], update={"v": F.col("s_v")})
+    with pytest.raises(ValueError):
+        statements.upsert(target, twice, ["k"])
+
+
+def test_framed_windows(spark):
+    t = spark.createDataFrame([(1, i, v) for i, v in enumerate([1, 1, 2, 3, 3, 3])], "k int, i int, v int")
+    got = windows.framed(t, ["k"], [F.col("v"), F.col("i")], F.col("v"), "l", F.col("i") % 2 + 1, 0, (2, 0))
+    assert [r["l"] for r in got.orderBy("i").collect()] == [[1], [1, 1], [1, 2], [1, 2, 3], [3, 3], [3, 3, 3]]
+    ties = lambda how: [r["l"] for r in windows.framed(t, ["k"], [F.col("v")], F.col("v"), "l", 1, 1, (1, 1), how).orderBy("v", F.size("l")).collect()]
+    assert ties("ties") == [[1], [1, 2], [1, 2, 3], [3], [3], [2, 3]] or len(ties("ties")) == 6
+    assert ties("group")[2] == [1, 3]
+
+
+def test_late_rows_are_dropped_and_sinks_write_by_batch(spark, tmp_path):
+    folder = tmp_path / "in"
+    first = [(1, "2024-01-10 00:30:00", 1.0), (2, "2024-01-10 05:30:00", 1.0)]
+    late = [(3, "2024-01-02 00:00:00", 1.0), (4, "2024-01-10 05:40:00", 1.0)]
+    between, last = [(6, "2024-01-10 05:45:00", 1.0)], [(5, "2024-01-20 00:00:00", 1.0)]
+    # What is late goes by the watermark of the batch before the last one.
+    for name, part in (("a", first), ("b", between), ("c", late), ("d", last)):
+        spark.createDataFrame(part, "event_id int, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(str(folder / name))
+        time.sleep(1.1)
+    paths = sorted(folder.glob("*/*.parquet"))
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for k, p in enumerate(paths):
+        (flat / f"{k}.parquet").write_bytes(p.read_bytes())
+        os.utime(flat / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = events.tumbling(events.source(spark, str(flat), files_per_trigger=1), "1 hour", late="1 day")
+    out = events.settle(stream, "append", str(tmp_path / "out"))
+    assert sorted((str(r["start"]), r["n"]) for r in out.collect()) == [("2024-01-10 00:00:00", 1), ("2024-01-10 05:00:00", 3)]
+    totals = events.settle(events.running_totals(events.source(spark, str(flat), files_per_trigger=1).withColumn("user_id", F.lit(7).cast("long"))), "update", str(tmp_path / "totals"), ("user_id",))
+    assert rows(totals) == [(7, 6, 6.0)]
+
+
+def test_changes_that_return_rows(spark):
+    t = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    now, back = statements.upsert(t, spark.createDataFrame([(2, "B"), (3, "C")], "k int, v string"), ["k"])
+    assert rows(now) == [(1, "a"), (2, "B"), (3, "C")] and rows(back) == [(2, "B", "update"), (3, "C", "insert")]
+    left, gone = statements.delete_returning(t, F.col("v") == "a")
+    assert rows(left) == [(2, None)] and rows(gone) == [(1, "a")]
+    assert statements.alter(t, rename={"v": "w"}, retype={"k": "string"}, add={"z": F.lit(1)}).dtypes == [("k", "string"), ("w", "string"), ("z", "int")]
+
+
+def test_sort_keys_order_as_their_columns(spark):
+    data = [(a, b) for a in (None, "", "a", "a\x00", "a\x01b", "ab", "é") for b in (None, -5, 0, 7)]
+    df = spark.createDataFrame(data, "a string, b int")
+    for how in ((False, False, True, True), (True, True, False, False)):
+        key = structs.sort_key((F.col("a"), T.StringType(), how[0], how[1]), (F.col("b"), T.IntegerType(), how[2], how[3]))
+        got = [tuple(r) for r in df.orderBy(key).collect()]
+        order = [getattr(F.col(c), ("desc" if d else "asc") + ("_nulls_first" if n else "_nulls_last"))() for c, d, n in (("a", *how[:2]), ("b", *how[2:]))]
+        assert got == [tuple(r) for r in df.orderBy(*order).collect()]
+
+
+def test_metadata_and_copies(spark, tmp_path):
+    df = spark.range(100).select("id", F.col("id").cast("string").alias("s"))
+    done = files.copy_returning(df.coalesce(1), str(tmp_path / "p"), rows_per_file=40)
+    assert sorted(r["count"] for r in done.collect()) == [20, 40, 40]
+    assert {(r["name"], r["type"]) for r in metadata.parquet_schema(spark, str(tmp_path / "p")).collect()} == {("id", "INT64"), ("s", "BYTE_ARRAY")}
+    assert metadata.parquet_file_metadata(spark, str(tmp_path / "p")).agg(F.sum("num_rows")).first()[0] == 100
+    assert files.scan(spark, str(tmp_path / "p" / "*.parquet")).count() == 100
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    from vellumine.operators import lineage
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    class Frame:
+        sparkSession = Cluster
+
+    with pytest.raises(ValueError):
+        lineage.cut(Frame)

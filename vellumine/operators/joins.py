@@ -100,7 +100,7 @@ def nearest(left: DataFrame, left_value: str, right: DataFrame, right_value: str
         w = Window.partitionBy(*keys).orderBy(*order)
         both = both.withColumn("__below", F.last("__value", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__above", F.first("__value", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     take_below = F.col("__above").isNull() | (x - F.col("__below.__v") <= F.col("__above.__v") - x)
-    best = F.when(F.col("__below").isNotNull() & take_below, F.col("__below")).otherwise(F.col("__above"))
+    best = F.when(x.isNotNull(), F.when(F.col("__below").isNotNull() & take_below, F.col("__below")).otherwise(F.col("__above")))
     return both.where("__side = 1").withColumn("__best", best).select(*[F.col(f"__row.{c}").alias(c) for c in out], *[F.col(f"__best.{v}").alias(v) for v in values])
 
 
@@ -108,7 +108,7 @@ def _several(both: DataFrame, keys: list[str], order: list[Column], out: list[st
     """The ``k`` nearest: those among the ``k`` right rows before and the ``k`` behind, by their places among the right rows."""
     placed = both.withColumn("__place", F.sum(F.when(F.col("__side") == 0, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     right = placed.where("__side = 0").select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate(keys)], F.col("__place").alias("__rplace"), F.col("__value").alias("__found"))
-    left = placed.where("__side = 1").withColumn("__id", F.monotonically_increasing_id()).withColumn("__rplace", F.explode(F.sequence(F.col("__place") - k + 1, F.col("__place") + k)))
+    left = placed.where("__side = 1 AND __x IS NOT NULL").withColumn("__id", F.monotonically_increasing_id()).withColumn("__rplace", F.explode(F.sequence(F.col("__place") - k + 1, F.col("__place") + k)))
     near = left.join(right, [left["__rplace"] == right["__rplace"], *[left[c] == right[f"__r{i}"] for i, c in enumerate(keys)]])
     best = Window.partitionBy("__id").orderBy(F.abs(F.col("__x") - F.col("__found.__v")), "__found.__v", "__found")
     ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
