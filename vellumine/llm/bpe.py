@@ -34,11 +34,11 @@ from pyspark.sql import types as T
 from vellumine.llm.store import Shared, slices
 
 #: Bounds of what a worker keeps: pieces of text, states with their transitions, answers on token pairs.
-MEMO_PIECES, MEMO_STATES, MEMO_PAIRS = 250_000, 1 << 16, 1 << 20
+MEMO_PIECES, MEMO_STATES, MEMO_PAIRS = 120_000, 1 << 16, 1 << 19
 #: Longer pieces of text (bytes) are not kept.
 MEMO_BYTES = 48
 #: Rows and bytes of an Arrow batch that are encoded together: the more, the more pieces are equal.
-SLICE_ROWS, SLICE_BYTES = 4000, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 2000, 8 << 20
 #: So many matches pass the transducer side by side if they have at most so many bytes; longer ones go alone,
 #: and their tokens are settled whenever LOOKAHEAD bytes wait.
 LANES, LANE_BYTES, LOOKAHEAD = 1 << 15, 64, 256

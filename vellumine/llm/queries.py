@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.llm import bpe, jaccard, linededup, mil, mixing, sharding, tiff, topk, unigram, warc
+from vellumine.llm.store import bound_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bound_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

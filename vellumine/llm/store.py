@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,6 +42,29 @@ class Shared:
         return self.broadcast.value
 
 
+#: Bounds of Arrow batches for sessions that run these operators over long texts: rows, bytes.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: The letters of size settings.
+UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def size_setting(text: str) -> int:
+    """A size as Spark's settings write it, such as 64m, 67108864b or 1gb, in bytes."""
+    found = re.fullmatch(r"\s*(-?\d+)\s*([kmgt]?)i?b?\s*", text.lower())
+    if not found:
+        raise ValueError(f"not a size: {text}")
+    return int(found[1]) * UNITS[found[2]]
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Lowers the session's Arrow batch settings to the bounds above, for whoever owns the session; operators never do."""
+    for key, bound, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS, int), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, size_setting)):
+        now = value(spark.conf.get(key))
+        if now <= 0 or now > bound:
+            spark.conf.set(key, str(bound))
+    return spark
+
+
 #: What a Python worker handles at once of a batch: rows, bytes.
 SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
 
