@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.llm import bpe, jaccard, linededup, mil, mixing
-from vellumine.llm.store import fresh_path
+from vellumine.llm.store import bound_batches, fresh_path
 
 VOCAB = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mil.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mil.keep_good(docs, bound_batches(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +41,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return jaccard.representatives(docs)
 
 
@@ -49,6 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     added = ("n_tokens", "ids", "decoded", "decoded_sha256")
     keep = tuple(c for c in docs.columns if c != "text" and c not in added)
     both = bpe.encode(docs, vocab_path=VOCAB, pattern=public_tokenizers.PATTERN, keep=keep, decoded_col="decoded")
