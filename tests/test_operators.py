@@ -82,6 +82,7 @@ def test_fill_carries_the_line_past_both_ends(spark):
     df = spark.createDataFrame([(g, None if k is None else float(k), None if v is None else float(v)) for g, p in parts.items() for k, v, _ in p], "g int, k double, v double")
     expected = sorted(((g, None if k is None else float(k), None if f is None else float(f)) for g, p in parts.items() for k, _, f in p), key=repr)
     assert rows(windows.fill(df, ["g"], "k", "v", "f").select("g", "k", "f")) == expected
+    assert rows(windows.fill(df, ["g"], "k", "v", "f", split_rows=2).select("g", "k", "f")) == expected
     odd = spark.createDataFrame([(1, 1.0, nan), (1, 2.0, None), (1, 3.0, 1.0), (1, 4.0, 3.0)], "g int, k double, v double")
     assert [r["f"] for r in windows.fill(odd, ["g"], "k", "v", "f").orderBy("k").collect()][1:] == [-1.0, 1.0, 3.0]
     tied = spark.createDataFrame([(1, 1, 10.0), (1, 1, 10.0), (1, 2, None)], "g int, k int, v double")

@@ -32,6 +32,11 @@ def last_in(x: Column, *order: Column) -> Column:
     return F.max_by(F.struct(x.alias("x")), F.struct(*order))["x"]
 
 
+def list_all(x: Column, *order: Column) -> Column:
+    """``list(x ORDER BY ...)`` with its nulls; for groups whose lists fit a row."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], x.alias("x")))), lambda s: s["x"])
+
+
 def arg_n(df: DataFrame, keys: list[str], x: Column, by: Column, n: int, name: str, greatest: bool = False, tie: Column | None = None) -> DataFrame:
     """``arg_min(x, by, n)`` or ``arg_max``: the list of ``x`` at the ``n`` extremes; nulls in ``by`` take no part.
 

@@ -6,14 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.operators.lineage import cut
-from vellumine.operators.scans import carried, in_parts
-
-#: With more rows than this of one key, rows are sorted into parts and values carried across them.
-SPLIT_ROWS = 1_000_000
-
-
-def _hot(df: DataFrame, keys: list[str], split_rows: int) -> bool:
-    return bool(df.groupBy(*keys).count().where(F.col("count") > split_rows).limit(1).count())
+from vellumine.operators.scans import SPLIT_ROWS, carried, hot, in_parts
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], how: str = "left", split_rows: int = SPLIT_ROWS) -> DataFrame:
@@ -29,7 +22,7 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
     usable = right.where(F.col(right_time).isNotNull()).dropna(subset=keys)
     r = usable.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(F.struct(*out)).schema[0].dataType).alias("__row"), F.struct(*values).alias("__value"))
     by, order, both = [f"__k{i}" for i in range(len(keys))], [F.col("__t").asc_nulls_first(), F.asc("__side"), F.col("__value").asc_nulls_first()], l.unionByName(r)
-    if _hot(both, by, split_rows):
+    if hot(both, by, split_rows):
         joined = carried(in_parts(both, by, order), by, "__value", "__found").where("__side = 1")
     else:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -94,7 +87,7 @@ def nearest(left: DataFrame, left_value: str, right: DataFrame, right_value: str
     both, x = l.unionByName(r), F.col("__x")
     if k > 1:
         return _several(both, keys, order, out, values, k)
-    if _hot(both, keys, split_rows):
+    if hot(both, keys, split_rows):
         both = carried(carried(in_parts(both, keys, order), keys, "__value", "__below"), keys, "__value", "__above", ahead=True)
     else:
         w = Window.partitionBy(*keys).orderBy(*order)

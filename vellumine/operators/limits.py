@@ -16,6 +16,16 @@ def limit_percent(df: DataFrame, percent: float, *order: Column, offset: int = 0
     return (ordered.offset(offset) if offset else ordered).limit(n)
 
 
+def limit_of(df: DataFrame, bound: DataFrame, *order: Column, offset: int = 0) -> DataFrame:
+    """``LIMIT (SELECT ...)``: as many rows as the one value of ``bound``; all, if that is null or has no row."""
+    found = bound.limit(2).collect()
+    if len(found) > 1:
+        raise ValueError("the bound has several rows")
+    ordered = df.orderBy(*order)
+    ordered = ordered.offset(offset) if offset else ordered
+    return ordered if not found or found[0][0] is None else ordered.limit(int(found[0][0]))
+
+
 class Key:
     """A sort key that remembers its expression and direction; nulls last unless asked otherwise."""
 

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from vellumine.operators.lineage import cut
 
 
+#: With more rows than this of one key, rows are sorted into parts and values carried across them.
+SPLIT_ROWS = 1_000_000
+
+
+def hot(df: DataFrame, keys: list[str], split_rows: int = SPLIT_ROWS) -> bool:
+    """Whether a key has more than so many rows; counted before any shuffle."""
+    return bool(df.groupBy(*keys).count().where(F.col("count") > split_rows).limit(1).count())
+
+
 def in_parts(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """``df`` sorted by keys, then order, with ``__part`` and, within it, ``__at``; cut, so that all uses see the same parts."""
     placed = df.orderBy(*keys, *order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())

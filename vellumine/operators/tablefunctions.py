@@ -34,6 +34,18 @@ def generate_series(spark: SparkSession, start: int, stop: int, step: int = 1, n
     return spark.range(start, stop + (1 if step > 0 else -1), step).withColumnRenamed("id", name)
 
 
+def with_ordinality(df: DataFrame, column: str, item: str, ordinality: str = "ordinality") -> DataFrame:
+    """A row an item of a list, with its place from 1."""
+    rest = [c for c in df.columns if c != column]
+    return df.select(*rest, F.posexplode(column).alias("__at", item)).select(*rest, item, (F.col("__at") + 1).cast("long").alias(ordinality))
+
+
+def split_to_table(df: DataFrame, column: str, pattern: str, item: str) -> DataFrame:
+    """``regexp_split_to_table``: a row a part of a text."""
+    rest = [c for c in df.columns if c != column]
+    return df.select(*rest, F.explode(F.split(column, pattern, -1)).alias(item))
+
+
 def query(spark: SparkSession, text: str) -> DataFrame:
     return spark.sql(text)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumine.operators.scans import SPLIT_ROWS, carried, hot, in_parts
+
 
 def groups_frame(df: DataFrame, partition: list[str], order: Column, start: int, end: int, aggregate: Column, name: str) -> DataFrame:
     """``aggregate`` over the peer groups from ``start`` to ``end`` around the current one."""
@@ -54,25 +56,51 @@ def framed(df: DataFrame, partition: list[str], order: list[Column], value: Colu
     return held.withColumn(name, F.transform(F.filter("__held", lambda h: inside(h) & stays(h)), lambda h: h["v"])).drop("__rn", "__peers", "__before", "__behind", "__held")
 
 
-def fill(df: DataFrame, partition: list[str], order: str, value: str, name: str) -> DataFrame:
+def fill(df: DataFrame, partition: list[str], order: str, value: str, name: str, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Nulls of ``value`` interpolated along ``order`` between known neighbours; extrapolated at the ends.
 
     At an end with two known values on one side the line through them is continued; with one, it repeats.
     Between keys that are equal, the earlier value stands. Rows whose key is null or not finite keep what
-    they have and, like values that are not finite, are no neighbours to others.
+    they have and, like values that are not finite, are no neighbours to others. Partitions of more than
+    ``split_rows`` rows are sorted into parts, and known values carried across them.
     """
-    w = Window.partitionBy(*partition).orderBy(F.col(order).asc_nulls_last())
-    down = Window.partitionBy(*partition).orderBy(F.desc("__row"))
-    before, whole = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, Window.unboundedFollowing)
     x, y = F.col(order).cast("double"), F.col(value).cast("double")
     finite = lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False))
-    marked = df.withColumn("__known", F.when(finite(x) & finite(y), F.struct(x.alias("x"), y.alias("y")))).withColumn("__row", F.row_number().over(w))
-    marked = marked.withColumn("__a", F.last("__known", True).over(w.rowsBetween(*before))).withColumn("__second", F.nth_value("__known", 2, True).over(w.rowsBetween(*whole)))
-    marked = marked.withColumn("__b", F.last("__known", True).over(down.rowsBetween(*before))).withColumn("__last_but_one", F.nth_value("__known", 2, True).over(down.rowsBetween(*whole)))
+    marked = df.withColumn("__known", F.when(finite(x) & finite(y), F.struct(x.alias("x"), y.alias("y"))))
+    near = _neighbours_split if hot(df, partition, split_rows) else _neighbours
+    marked, extra = near(marked, partition, order)
     # With nothing known before a row, the line runs through the first two known; with nothing behind, the last two.
     start = F.when(F.col("__a").isNull(), F.col("__b")).when(F.col("__b").isNull(), F.coalesce("__last_but_one", "__a")).otherwise(F.col("__a"))
     end = F.when(F.col("__a").isNull(), F.coalesce("__second", "__b")).otherwise(F.coalesce("__b", "__a"))
     lined = marked.withColumn("__from", start).withColumn("__to", end)
     line = F.col("__from.y") + (x - F.col("__from.x")) * (F.col("__to.y") - F.col("__from.y")) / F.nullif(F.col("__to.x") - F.col("__from.x"), F.lit(0.0))
     filled_in = F.coalesce(y, F.when(finite(x), F.coalesce(line, F.col("__from.y"))))
-    return lined.withColumn(name, filled_in).drop("__known", "__row", "__a", "__second", "__b", "__last_but_one", "__from", "__to")
+    return lined.withColumn(name, filled_in).drop("__known", "__a", "__second", "__b", "__last_but_one", "__from", "__to", *extra)
+
+
+def _neighbours(marked: DataFrame, partition: list[str], order: str) -> tuple[DataFrame, list[str]]:
+    """Adds the known values before and behind each row, and the second from either end."""
+    w = Window.partitionBy(*partition).orderBy(F.col(order).asc_nulls_last())
+    down = Window.partitionBy(*partition).orderBy(F.desc("__row"))
+    before, whole = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = marked.withColumn("__row", F.row_number().over(w))
+    marked = marked.withColumn("__a", F.last("__known", True).over(w.rowsBetween(*before))).withColumn("__second", F.nth_value("__known", 2, True).over(w.rowsBetween(*whole)))
+    marked = marked.withColumn("__b", F.last("__known", True).over(down.rowsBetween(*before))).withColumn("__last_but_one", F.nth_value("__known", 2, True).over(down.rowsBetween(*whole)))
+    return marked, ["__row"]
+
+
+def _neighbours_split(marked: DataFrame, partition: list[str], order: str) -> tuple[DataFrame, list[str]]:
+    parts = in_parts(marked, partition, [F.col(order).asc_nulls_last()])
+    known, ends = parts.where("__known IS NOT NULL"), []
+    for name, at in (("__second", F.asc("__at")), ("__last_but_one", F.desc("__at"))):
+        # Ranks are limited to two before the shuffle.
+        two = known.withColumn("__rn", F.row_number().over(Window.partitionBy(*partition).orderBy(at))).where("__rn <= 2")
+        one = two.where("__rn = 2").select(*[F.col(c).alias(f"{name}{i}") for i, c in enumerate(partition)], F.col("__known").alias(name))
+        ends.append((name, one))
+    both = carried(carried(parts, partition, "__known", "__a"), partition, "__known", "__b", ahead=True)
+    for name, one in ends:
+        match = F.lit(True)
+        for i, c in enumerate(partition):
+            match = match & F.col(c).eqNullSafe(F.col(f"{name}{i}"))
+        both = both.join(one, match, "left").drop(*[f"{name}{i}" for i in range(len(partition))])
+    return both, ["__part", "__at"]

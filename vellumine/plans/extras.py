@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellumine.data import table
+from vellumine.functions import aggregates as A
 from vellumine.functions import dates, json, lists, strings, structs
-from vellumine.operators import joins, statements
+from vellumine.operators import joins, limits, statements, tablefunctions
+from vellumine.operators.lineage import cut
 from vellumine.plans.io import _scratch
 from vellumine.plans.suite import Suite
 from vellumine.sources import files, metadata
@@ -271,3 +273,65 @@ def blob_and_glob(spark, folder):
 def macro_aggregate(spark, folder):
     share = lambda x, w: F.sum(x * w) / F.sum(x)  # noqa: E731  an aggregating macro is a function of columns
     return table(spark, folder, "lineitem").groupBy("l_returnflag").agg(F.round(share(C("l_extendedprice"), C("l_discount")), 8).alias("share"))
+
+
+# ---- further forms
+
+
+@suite.add("tf_with_ordinality", "SELECT n_nationkey, x, CAST(o AS BIGINT) AS o FROM nation, unnest([n_name, 'b', n_name]) WITH ORDINALITY t(x, o)")
+def with_ordinality(spark, folder):
+    df = table(spark, folder, "nation").select("n_nationkey", F.array(C("n_name"), F.lit("b"), C("n_name")).alias("l"))
+    return tablefunctions.with_ordinality(df, "l", "x", "o")
+
+
+@suite.add("tf_split_to_table", "SELECT p_partkey, regexp_split_to_table(p_type, '[ _-]+') AS part FROM part")
+def split_to_table(spark, folder):
+    return tablefunctions.split_to_table(table(spark, folder, "part").select("p_partkey", "p_type"), "p_type", "[ _-]+", "part")
+
+
+@suite.add("rel_limit_subquery", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT (SELECT count(*) FROM nation)")
+def limit_subquery(spark, folder):
+    bound = table(spark, folder, "nation").agg(F.count(F.lit(1)))
+    return limits.limit_of(table(spark, folder, "orders"), bound, F.desc("o_totalprice"), F.asc("o_orderkey")).select("o_orderkey")
+
+
+@suite.add("rel_materialized_cte", "WITH m AS MATERIALIZED (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey) SELECT a.o_custkey FROM m a JOIN (SELECT max(t) AS most FROM m) ON a.t > most * 0.8")
+def materialized_cte(spark, folder):
+    m = cut(table(spark, folder, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("t")))
+    most = m.agg(F.max("t").alias("most"))
+    return m.join(F.broadcast(most), C("t") > C("most") * 0.8).select("o_custkey")
+
+
+@suite.add("agg_list_nulls", "SELECT n_regionkey, list(CASE WHEN n_nationkey % 2 = 0 THEN n_name END ORDER BY n_nationkey) AS l FROM nation GROUP BY n_regionkey")
+def list_nulls(spark, folder):
+    return table(spark, folder, "nation").groupBy("n_regionkey").agg(A.list_all(F.when(C("n_nationkey") % 2 == 0, C("n_name")), C("n_nationkey")).alias("l"))
+
+
+suite.texts("fn_assertions", "SELECT n_nationkey, assert_true(n_nationkey >= 0) IS NULL AS held, IF(n_regionkey > 0, n_name, NULL) AS c FROM nation", "SELECT n_nationkey, true AS held, CASE WHEN n_regionkey > 0 THEN n_name END AS c FROM nation")
+suite.texts("fn_nested_text", "SELECT n_nationkey, CAST(array(n_nationkey, 7) AS STRING) AS l, CAST(array('a', n_name) AS STRING) AS s FROM nation", "SELECT n_nationkey, CAST([n_nationkey, 7] AS VARCHAR) AS l, CAST(['a', n_name] AS VARCHAR) AS s FROM nation")
+suite.both("rel_order_by_all", "SELECT n_regionkey, n_name FROM nation ORDER BY ALL LIMIT 7")
+suite.both("rel_order_by_position", "SELECT n_name, n_regionkey FROM nation ORDER BY 2 DESC, 1 LIMIT 7")
+
+
+@suite.add("io_catalog_tables", "SELECT 'nation' AS table_name, true AS temporary UNION ALL SELECT 'region', true")
+def catalog_tables(spark, folder):
+    for name in ("nation", "region"):
+        table(spark, folder, name).createOrReplaceTempView(name)
+    return metadata.tables(spark).where("table_name IN ('nation', 'region')").select("table_name", "temporary").distinct()
+
+
+@suite.add("io_catalog_functions", "SELECT 'sum' AS function_name UNION ALL SELECT 'regexp_replace'")
+def catalog_functions(spark, folder):
+    return metadata.functions(spark).where("function_name IN ('sum', 'regexp_replace')")
+
+
+@suite.add("io_catalog_settings", "SELECT 'spark.sql.ansi.enabled' AS name, 'true' AS value")
+def catalog_settings(spark, folder):
+    table(spark, folder, "nation")  # pins the settings
+    return metadata.settings(spark).where("name = 'spark.sql.ansi.enabled'").select("name", "value")
+
+
+@suite.add("tf_query_text", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+def query_text(spark, folder):
+    table(spark, folder, "nation").createOrReplaceTempView("nation")
+    return tablefunctions.query(spark, "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
