@@ -32,6 +32,22 @@ def csv_sniffed(spark, folder):
     return files.read_csv(spark, path)
 
 
+@suite.add("io_csv_options", "SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, o_orderstatus AS s FROM orders WHERE o_orderkey % 2 = 0")
+def csv_options(spark, folder):
+    day = F.date_format("o_orderdate", "dd/MM/yyyy")
+    text = F.concat_ws(";", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).otherwise(F.lit("# left out")), day, "o_orderstatus")
+    table(spark, folder, "orders").select(text.alias("value")).write.text(path := _scratch(spark, "csv"))
+    return files.read_csv(spark, path, schema="k bigint, d date, s string", sep=";", header=False, comment="#", dateformat="%d/%m/%Y")
+
+
+@suite.add("io_csv_skip", "SELECT n_nationkey AS k, n_name AS name FROM nation")
+def csv_skip(spark, folder):
+    rows = table(spark, folder, "nation").select(F.concat_ws("|", "n_nationkey", "n_name").alias("value")).coalesce(1)
+    head = spark.createDataFrame([("made by hand",), ("second line",), ("k|name",)], "value string").coalesce(1)
+    head.unionByName(rows).coalesce(1).write.text(path := _scratch(spark, "csv"))
+    return files.read_csv(spark, path, schema="a bigint, b string", sep="|", header=True, skip=2, names=["k", "name"])
+
+
 @suite.add("io_json_round_trip", "SELECT event_id, user_id, event_type, value, props FROM events")
 def json_round_trip(spark, folder):
     df = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value", "props")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellumine.functions.dates import java_pattern
+
 
 def read_parquet(spark: SparkSession, *paths: str, union_by_name: bool = False, filename: bool = False, file_row_number: bool = False, hive_partitioning: bool = True) -> DataFrame:
     reader = spark.read.option("mergeSchema", union_by_name)
@@ -35,15 +37,34 @@ def sniff_csv(spark: SparkSession, path: str, lines: int = 64) -> dict:
     return {"sep": sep, "quote": quote, "header": header}
 
 
-def read_csv(spark: SparkSession, path: str, *, schema: str | None = None, sep: str | None = None, header: bool | None = None, quote: str | None = None, escape: str = '"', nullstr: str = "", ignore_errors: bool = False, filename: bool = False, all_varchar: bool = False, skip: int = 0, union_by_name: bool = False) -> DataFrame:
-    """What is not given is sniffed; types are inferred unless a schema is given."""
+def read_csv(spark: SparkSession, path: str, *, schema: str | None = None, sep: str | None = None, header: bool | None = None, quote: str | None = None, escape: str = '"', nullstr: str = "", ignore_errors: bool = False, filename: bool = False, all_varchar: bool = False, skip: int = 0, names: list[str] | None = None, dateformat: str | None = None, timestampformat: str | None = None, comment: str | None = None, encoding: str | None = None, new_line: str | None = None, null_padding: bool = False) -> DataFrame:
+    """What is not given is sniffed; types are inferred unless a schema is given.
+
+    Formats of dates are those of ``strftime``. ``skip`` leaves out the first lines of every file and needs a
+    schema; ``names`` renames the columns; ``null_padding`` fills short rows with nulls instead of refusing them.
+    """
     found = sniff_csv(spark, path) if sep is None or header is None else {}
     sep, header, quote = (a if a is not None else found.get(k, d) for a, k, d in ((sep, "sep", ","), (header, "header", True), (quote, "quote", '"')))
-    reader = spark.read.options(sep=sep, header=header, quote=quote, escape=escape, nullValue=nullstr, mode="DROPMALFORMED" if ignore_errors else "FAILFAST")
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", not all_varchar).option("preferDate", True)
+    mode = "DROPMALFORMED" if ignore_errors else "PERMISSIVE" if null_padding else "FAILFAST"
+    given = {"comment": comment, "encoding": encoding, "lineSep": new_line, "dateFormat": dateformat and java_pattern(dateformat), "timestampFormat": timestampformat and java_pattern(timestampformat)}
+    options = {"sep": sep, "quote": quote, "escape": escape, "nullValue": nullstr, "mode": mode} | {k: v for k, v in given.items() if v is not None}
     if skip:
-        raise ValueError("skipped lines need a schema and a filter on the row index")
-    return _marked(reader.csv(path), filename)
+        if not schema:
+            raise ValueError("skipped lines need a schema")
+        lines = _without_first(spark, path, skip + header)
+        df = lines.select(F.from_csv("value", F.lit(schema), options).alias("r")).select("r.*")
+    else:
+        reader = spark.read.options(header=header, **options)
+        reader = reader.schema(schema) if schema else reader.option("inferSchema", not all_varchar).option("preferDate", True)
+        df = _marked(reader.csv(path), filename)
+    return df.toDF(*names) if names else df
+
+
+def _without_first(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """Lines of text files but for the first ``n`` of each, which stand in a file's first block."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+    first = lines.where("b = 0").withColumn("rn", F.row_number().over(Window.partitionBy("f").orderBy(F.monotonically_increasing_id())))
+    return first.where(F.col("rn") > n).select("value").unionByName(lines.where("b > 0").select("value"))
 
 
 def read_json(spark: SparkSession, path: str, *, layout: str = "newline_delimited", schema: str | None = None, filename: bool = False) -> DataFrame:
