@@ -11,10 +11,11 @@ import zlib
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vellumine.llm import jaccard, linededup, mixing, queries, sharding, warc
+from vellumine.llm import jaccard, linededup, mixing, queries, sharding, store, warc
 from vellumine.llm.components import components
 
 SMALL = "/root/testdata/sf0.001"
@@ -397,3 +398,53 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     joined = {x for a, b in edges if a != b for x in (a, b)}
     assert found == {x: top(x) for x in joined}
+
+
+def test_components_of_odd_edges(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 3), (None, 4), (5, None)], "a long, b long")
+    assert dict(map(tuple, components(edges, "a", "b").collect())) == {1: 1, 2: 1}
+    assert components(edges.limit(0), "a", "b").count() == 0
+
+
+# ---- sessions and shared folders
+
+
+def test_size_settings_and_bounds(spark):
+    assert [store.size_setting(x) for x in ("64m", "67108864b", "1gb", "-1", "10K", " 7 ")] == [1 << 26, 1 << 26, 1 << 30, -1, 10_240, 7]
+    with pytest.raises(ValueError):
+        store.size_setting("much")
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        spark.conf.set(keys[1], "64m")
+        spark.conf.set(keys[0], "10000")
+        jaccard.join(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")).collect()
+        assert [spark.conf.get(k) for k in keys] == ["10000", "64m"]
+        store.bound_batches(spark)
+        assert [spark.conf.get(k) for k in keys] == [str(store.BATCH_ROWS), str(store.BATCH_BYTES)]
+        spark.conf.set(keys[0], "5")
+        store.bound_batches(spark)
+        assert spark.conf.get(keys[0]) == "5"
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+
+
+def test_slices_are_small_and_whole():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["x" * (k * 100) for k in range(50)])], ["i", "t"])
+    parts = list(store.slices(batch, rows=20, size=9000))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(50))
+    assert all(p.num_rows == 1 or (p.num_rows <= 20 and p.nbytes <= 9000) for p in parts)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        store.shared_dir(Cluster)

@@ -1,4 +1,8 @@
-"""Connected components by alternating star contractions, each round cut from its lineage."""
+"""Connected components by alternating star contractions, each round cut from its lineage.
+
+Repeated edges count once, loops and edges with a null end not at all; nodes without an edge do not appear. The
+root is the least node, so ties cannot occur. No edges give an empty result; other columns play no part.
+"""
 
 from __future__ import annotations
 

@@ -16,8 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots are numbered within buckets of the key's hash: 16 ** HEX_DIGITS buckets a shard.
-HEX_DIGITS = 3
+#: Slots are numbered within buckets of the key's hash, 16 to a power a shard: this power, or less where that
+#: would make more buckets over all shards.
+HEX_DIGITS, MOST_BUCKETS = 3, 1 << 17
 #: Interchangeable rows are laid out in runs of this many.
 RUN = 8192
 
@@ -49,6 +50,7 @@ def key_text(key: Column) -> Column:
 def shard(df: DataFrame, key_col: str, text_col: str, weights: list[float], *, added_weight: float = 1.0) -> DataFrame:
     """Key, size, text checksum, law, shard, slot and the shard if one of ``added_weight`` were added."""
     n = len(weights)
+    digits = next(d for d in range(HEX_DIGITS, -1, -1) if not d or n * 16**d <= MOST_BUCKETS)
     key = F.col("__key")
     rows = df.select(
         F.col(key_col).alias("__id"),
@@ -60,8 +62,8 @@ def shard(df: DataFrame, key_col: str, text_col: str, weights: list[float], *, a
     placed = alike.withColumn("__shard", assign(key, weights)).withColumn("__md5", F.md5("__key"))
     own = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("__shard") + 1)
     moves = cost(key, F.lit(n), F.lit(added_weight)) < cost(key, F.col("__shard"), own)
-    placed = placed.withColumn("__grown", F.when(moves, F.lit(n)).otherwise(F.col("__shard"))).withColumn("__bucket", F.substring("__md5", 1, HEX_DIGITS))
-    # One row a shard and bucket: at most n * 16 ** HEX_DIGITS, whatever the input.
+    placed = placed.withColumn("__grown", F.when(moves, F.lit(n)).otherwise(F.col("__shard"))).withColumn("__bucket", F.substring("__md5", 1, digits))
+    # One row a shard and bucket: at most MOST_BUCKETS, or a row a shard.
     counts = placed.groupBy("__shard", "__bucket").agg(F.sum("__n").alias("__rows"))
     before = Window.partitionBy("__shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__shard", "__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
