@@ -7,9 +7,9 @@ of what is left is at most the product of the remaining lengths, and pairs whose
 query's k-th best score so far go. Survivors are scored exactly.
 
 Queries first meet the longest block, which gives each a lower bound, and then only those blocks whose
-greatest length times their own can reach it. Queries go in blocks as well, so a task has one block of
-each; nothing else grows with the table. Blocks that many vectors of one length would overfill are
-split by a hash of the id.
+greatest length times their own can reach it. Queries go in sets by how far down they have to look, so a
+vector is sent only to sets with a query that may want its block, and a task has one set and one block;
+blocks and sets have a bounded size, and the driver sees no more than a row a class of length.
 
 Only vectors that are null or hold a null or non-finite component take no part, as queries or as candidates;
 shorter vectors, empty ones too, count as padded by zeros. Whole components are kept as doubles, which hold
@@ -41,8 +41,6 @@ WHOLE, SAFE = float(1 << 52), float(1 << 62)
 CLASSES = 16
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
-#: At most so many blocks: beyond, blocks grow, so that what is known of each block stays small.
-MOST_BLOCKS = 50_000
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -180,16 +178,15 @@ def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
     empty = "query_id long, rank int, vec_id long, score long" + (f", `{exact_col}` string" if exact_col else "")
     if not found:
         return spark.createDataFrame([], empty)
-    width, total = max(r["width"] for r in found), sum(r["n"] for r in found)
-    rows = max(block_rows, total // MOST_BLOCKS + 1)
+    width = max(r["width"] for r in found)
     first, layout = 0, []
-    for r in found:
-        count = math.ceil(r["n"] / rows)
-        layout.append((r["kind"], first, count))
+    for place, r in enumerate(found):
+        count = math.ceil(r["n"] / block_rows)
+        layout.append((r["kind"], place, first, count))
         first += count
     basis, blocks = rotation(vectors, width), first
     # One row a length class: a few thousand at most, as lengths are doubles.
-    placed = vectors.join(F.broadcast(spark.createDataFrame(layout, "kind int, first int, count int")), "kind")
+    placed = vectors.join(F.broadcast(spark.createDataFrame(layout, "kind int, class int, first int, count int")), "kind")
     placed = placed.withColumn("block", F.col("first") + F.pmod(F.xxhash64("id", "v"), F.col("count")).cast("int"))
     asked_once = vectors.where("is_query AND id IS NOT NULL").groupBy("id").agg(F.min(F.struct("v", "length")).alias("q"))
     queries = cut(asked_once.select("id", "q.v", "q.length"))
@@ -209,9 +206,9 @@ def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
         a, b, c = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array([str(x) for x in c], pa.string())})
 
-    def pairs(asked: DataFrame, among: DataFrame) -> DataFrame:
-        """``asked`` has (id, v, bound, set, block); ``among`` (id, v, block), sent to every set of queries."""
-        spread = among.select(F.col("id").alias("vec"), F.col("v").alias("w"), F.col("block").alias("among_block"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("among_set"))
+    def pairs(asked: DataFrame, among: DataFrame, least: Column, sets: int) -> DataFrame:
+        """``asked`` has (id, v, bound, set, block); ``among`` (id, v, block), sent to the sets from ``least`` on."""
+        spread = among.select(F.col("id").alias("vec"), F.col("v").alias("w"), F.col("block").alias("among_block"), F.explode(F.sequence(least, F.lit(sets - 1))).alias("among_set"))
         return asked.groupBy("set", "block").cogroup(spread.groupBy("among_set", "among_block")).applyInArrow(meet, result)
 
     def ranked(candidates: DataFrame) -> DataFrame:
@@ -221,16 +218,31 @@ def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
         return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     start = queries.select("id", "v", F.lit(float("-inf")).alias("bound"), "set", F.lit(0).alias("block"))
-    longest = cut(ranked(pairs(start, placed.where("block = 0"))))
+    longest = cut(ranked(pairs(start, placed.where("block = 0"), F.lit(0), sets)))
     bounds = longest.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("bound")).distinct()
     bounded = queries.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
     columns = ["query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.expr("try_cast(score AS bigint)").alias("score"), *([F.col("score").alias(exact_col)] if exact_col else [])]
     if blocks == 1:
         return longest.select(*columns)
-    # Classes in falling order of length: the blocks that can matter are those up to the last such class.
-    reached = [F.when(F.lit(r["most"]) * F.col("length") * (1 + 1e-9) + 1e-6 >= F.col("bound"), F.lit(start + count - 1)) for r, (_, start, count) in zip(found, layout, strict=True)]
-    sent = bounded.withColumn("last", F.coalesce(F.array_max(F.array(*reached)), F.lit(0))).where("last >= 1")
-    asked = sent.withColumn("block", F.explode(F.sequence(F.lit(1), F.col("last")))).select("id", "v", "bound", "set", "block")
-    rest = pairs(asked, placed.where("block > 0"))
+    # Classes in falling order of length: a query looks down to the last one that can matter.
+    reached = [F.when(F.lit(r["most"]) * F.col("length") * (1 + 1e-9) + 1e-6 >= F.col("bound"), F.lit(place)) for place, r in enumerate(found)]
+    sent = cut(bounded.withColumn("last", F.coalesce(F.array_max(F.array(*reached)), F.lit(0))))
+    depths = sorted((r["last"], r["count"]) for r in sent.groupBy("last").count().collect())
+    # Depths in runs that fill a set or more: (depth, first set, sets), and for each class the first set that looks so far.
+    runs, open_, held, sets = [], [], 0, 0
+    for depth, n in depths:
+        open_.append(depth)
+        held += n
+        if held >= QUERY_ROWS or depth == depths[-1][0]:
+            runs.append((open_, sets, math.ceil(held / QUERY_ROWS)))
+            sets += runs[-1][2]
+            open_, held = [], 0
+    least = [next((start for run, start, _ in runs if run[-1] >= place), sets) for place in range(len(found))]
+    dealt = spark.createDataFrame([(d, start, count) for run, start, count in runs for d in run], "last int, start int, sets int")
+    ends = F.array(*[F.lit(start + count - 1) for _, _, start, count in layout])
+    asked = sent.join(F.broadcast(dealt), "last").withColumn("set", F.col("start") + F.pmod(F.xxhash64("id"), F.col("sets")).cast("int")).withColumn("end", F.get(ends, F.col("last"))).where("end >= 1")
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(1), F.col("end")))).select("id", "v", "bound", "set", "block")
+    among = placed.where("block > 0").withColumn("least", F.get(F.array(*[F.lit(x) for x in least]), F.col("class"))).where(F.col("least") < sets)
+    rest = pairs(asked, among, F.col("least"), sets)
     merged = longest.select("query_id", "vec_id", "score").unionByName(rest)
     return ranked(merged).select(*columns)
