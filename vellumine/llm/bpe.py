@@ -34,11 +34,11 @@ from pyspark.sql import types as T
 from vellumine.llm.store import Shared, slices
 
 #: Bounds of what a worker keeps: pieces of text, states with their transitions, answers on token pairs.
-MEMO_PIECES, MEMO_STATES, MEMO_PAIRS = 120_000, 1 << 16, 1 << 19
+MEMO_PIECES, MEMO_STATES, MEMO_PAIRS = 80_000, 1 << 16, 1 << 19
 #: Longer pieces of text (bytes) are not kept.
 MEMO_BYTES = 48
 #: Rows and bytes of an Arrow batch that are encoded together: the more, the more pieces are equal.
-SLICE_ROWS, SLICE_BYTES = 2000, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
 #: So many matches pass the transducer side by side if they have at most so many bytes; longer ones go alone,
 #: and their tokens are settled whenever LOOKAHEAD bytes wait.
 LANES, LANE_BYTES, LOOKAHEAD = 1 << 15, 64, 256
@@ -600,15 +600,22 @@ _made: dict = {}
 
 
 def _room() -> None:
-    if len(_made) >= 4:
+    if len(_made) >= 6:
         _made.clear()
 
 
+def _ranks(ranks) -> dict[bytes, int]:
+    key = ("ranks", ranks.id)
+    if key not in _made:
+        _made[key] = load_ranks(ranks.value)
+    return _made[key]
+
+
 def _encoder(ranks, pattern: str) -> Encoder:
     key = ("encoder", ranks.id, pattern)
     if key not in _made:
         _room()
-        _made[key] = Encoder(load_ranks(ranks.value), pattern)
+        _made[key] = Encoder(_ranks(ranks), pattern)
     return _made[key]
 
 
@@ -616,7 +623,7 @@ def _decoder(ranks) -> StreamDecoder:
     key = ("decoder", ranks.id)
     if key not in _made:
         _room()
-        _made[key] = StreamDecoder({rank: token for token, rank in load_ranks(ranks.value).items()})
+        _made[key] = StreamDecoder({rank: token for token, rank in _ranks(ranks).items()})
     return _made[key]
 
 
@@ -641,6 +648,8 @@ def _in_order(df: DataFrame, column: str, keep: tuple[str, ...], added: list[T.S
             for part in slices(batch, SLICE_ROWS, SLICE_BYTES):
                 columns = [*part.columns[:-1], *make(part.columns[-1])]
                 yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
+        # The worker goes on to other tasks, which need the room.
+        pa.default_memory_pool().release_unused()
 
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*slim.schema.fields[:-1], *added])]
     return slim.mapInArrow(run, T.StructType(fields)).toDF(*kept, *[f.name for f in added])
