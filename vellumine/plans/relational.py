@@ -155,10 +155,10 @@ def prepared(spark, folder):
     return spark.sql("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > :least AND o_orderstatus = :status", args={"least": 250000, "status": "O"})
 
 
-@suite.add("rel_macro_scalar", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge FROM lineitem")
+@suite.add("rel_macro_scalar", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 7) AS charge FROM lineitem")
 def macro(spark, folder):
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vl_charge(p DOUBLE, d DOUBLE, t DOUBLE DEFAULT 0.0D) RETURNS DOUBLE RETURN p * (1 - d) * (1 + t)")
-    return run_sql(spark, folder, "SELECT l_orderkey, l_linenumber, round(vl_charge(l_extendedprice, l_discount, l_tax), 2) AS charge FROM lineitem")
+    return run_sql(spark, folder, "SELECT l_orderkey, l_linenumber, round(vl_charge(l_extendedprice, l_discount, l_tax), 7) AS charge FROM lineitem")
 
 
 @suite.add("rel_macro_table", "SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000")

@@ -79,10 +79,10 @@ def filtered(spark, folder):
     s AS (SELECT k, v, last_value(p IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, first_value(p IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b,
           list(p ORDER BY k) FILTER (WHERE p IS NOT NULL) OVER (PARTITION BY user_id) AS l FROM n WINDOW w AS (PARTITION BY user_id ORDER BY k)),
     e AS (SELECT k, v, CASE WHEN a IS NULL THEN l[1] WHEN b IS NULL THEN coalesce(l[-2], a) ELSE a END AS f, CASE WHEN a IS NULL THEN coalesce(l[2], l[1]) WHEN b IS NULL THEN a ELSE b END AS g FROM s)
-    SELECT k, round(CASE WHEN v IS NOT NULL THEN v WHEN g.x = f.x THEN f.y ELSE f.y + (k - f.x) * (g.y - f.y) / (g.x - f.x) END, 6) AS v FROM e""")
+    SELECT k, round(CASE WHEN v IS NOT NULL THEN v WHEN g.x = f.x THEN f.y ELSE f.y + (k - f.x) * (g.y - f.y) / (g.x - f.x) END, 8) AS v FROM e""")
 def fill(spark, folder):
     df = table(spark, folder, "events").selectExpr("user_id", "CAST(event_id AS INT) AS k", "CASE WHEN event_id % 4 = 1 THEN value END AS v")
-    return windows.fill(df, ["user_id"], "k", "v", "filled").select("k", F.round("filled", 6).alias("v"))
+    return windows.fill(df, ["user_id"], "k", "v", "filled").select("k", F.round("filled", 8).alias("v"))
 
 
 suite.both("win_sessions", "SELECT event_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM (SELECT event_id, user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL '12' HOUR THEN 0 ELSE 1 END AS fresh FROM events)")
